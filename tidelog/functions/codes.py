@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.schema import ERROR_DESCRIPTIONS, MAX_ERROR_CODE
@@ -51,9 +49,8 @@ def describe_error(code: Column, default: str) -> Column:
     return F.coalesce(F.try_element_at(table, code.cast("int")), F.lit(default))
 
 
-def category(event_name: Column, locks: Column, exception: Column, code: Column, ms: Column) -> Column:
+def category(event_name: Column, locks: Column, has_error: Column, ms: Column) -> Column:
     name = F.upper(event_name)
-    has_error = (exception != "") | F.coalesce(code > 0, F.lit(False))
     return (
         F.when(name.contains("DBMSSQL") | name.contains("SDBL"), "database")
         .when(name.contains("LOCK") | (locks != ""), "lock")
@@ -63,29 +60,26 @@ def category(event_name: Column, locks: Column, exception: Column, code: Column,
     )
 
 
-def severity(level: Column, exception: Column, code: Column, ms: Column) -> Column:
-    has_error = (exception != "") | F.coalesce(code > 0, F.lit(False))
-    ladder = [
-        (has_error | (level >= 4), "critical"),
-        ((ms > VERY_SLOW_MS) | (level >= 3), "high"),
-        ((ms > SLOW_MS) | (level >= 2), "medium"),
-    ]
-    first, *rest = ladder
-    return reduce(lambda c, step: c.when(*step), rest, F.when(*first)).otherwise("low")
+def severity(level: Column, has_error: Column, ms: Column) -> Column:
+    return (
+        F.when(has_error | (level >= 4), "critical")
+        .when((ms > VERY_SLOW_MS) | (level >= 3), "high")
+        .when((ms > SLOW_MS) | (level >= 2), "medium")
+        .otherwise("low")
+    )
 
 
-def classified(df, rules: str = "rules"):
+def classified(df: DataFrame, rules: str = "rules") -> DataFrame:
     """Add ``severity`` and ``category``: by the rules, or the two constants."""
     if rules == "constant":
         return df.withColumns({"severity": F.lit("info"), "category": F.lit("other")})
     if rules != "rules":
         raise ValueError("rules must be 'rules' or 'constant'")
-    c = F.col
+    ms = F.col("duration_ms")
+    has_error = (F.col("exception") != "") | F.coalesce(F.col("mssql_error_code") > 0, F.lit(False))
     return df.withColumns(
         {
-            "severity": severity(c("level"), c("exception"), c("mssql_error_code"), c("duration_ms")),
-            "category": category(
-                c("event_name"), c("locks"), c("exception"), c("mssql_error_code"), c("duration_ms")
-            ),
+            "severity": severity(F.col("level"), has_error, ms),
+            "category": category(F.col("event_name"), F.col("locks"), has_error, ms),
         }
     )

@@ -43,5 +43,11 @@ def hour_file(ts: Column) -> Column:
     return F.concat(*parts, F.lit(".log"))
 
 
+def iso_text(ts: Column) -> Column:
+    """ISO 8601 text; a fraction is shown with all six digits or not at all."""
+    s = F.replace(ts.cast("string"), F.lit(" "), F.lit("T"))
+    return F.when(F.length(s) > 19, F.rpad(s, 26, "0")).otherwise(s)
+
+
 def utc_to_moscow(ts: Column) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit("Europe/Moscow"), ts)

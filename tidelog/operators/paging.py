@@ -33,14 +33,23 @@ def check_page(page: int, page_size: int) -> tuple[int, int]:
     return (page - 1) * page_size, page_size
 
 
-def take_slice(events: DataFrame, offset: int, limit: int, sort_by="timestamp", sort_order="desc") -> DataFrame:
+def take_slice(
+    events: DataFrame,
+    offset: int,
+    limit: int,
+    sort_by: str | None = "timestamp",
+    sort_order: str | None = "desc",
+    shallow_rows: int = SHALLOW_ROWS,
+) -> DataFrame:
     """Rows ``offset .. offset+limit`` of the sorted events."""
-    if offset + limit > SHALLOW_ROWS:
-        events, offset = narrowed(events, offset, limit, sort_by, sort_order)
+    if offset + limit > shallow_rows:
+        events, offset = narrowed(events, offset, limit, sort_by, sort_order, shallow_rows)
     return events.orderBy(*event_order(sort_by, sort_order)).offset(offset).limit(limit)
 
 
-def narrowed(events: DataFrame, offset: int, limit: int, sort_by: str, sort_order: str):
+def narrowed(
+    events: DataFrame, offset: int, limit: int, sort_by: str | None, sort_order: str | None, shallow_rows: int
+) -> tuple[DataFrame, int]:
     """Cut the events down to a key range that holds the wanted slice.
 
     Rows are counted by ever finer values of the sort columns (partial
@@ -71,7 +80,7 @@ def narrowed(events: DataFrame, offset: int, limit: int, sort_by: str, sort_orde
         (F.col("line_number"), False),
     ]
     for depth in range(1, len(steps) + 1):
-        if offset + limit <= SHALLOW_ROWS:
+        if offset + limit <= shallow_rows:
             break
         used = steps[:depth]
         names = [f"v{i}" for i in range(depth)]

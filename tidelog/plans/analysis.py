@@ -129,9 +129,13 @@ def timeline(events: DataFrame, width: str = "1 second", buckets: int = TIMELINE
 
 
 def analysis(events: DataFrame, where: EventFilter) -> dict[str, DataFrame]:
-    """All parts of the view as lazy frames over one filtered set."""
+    """All parts of the view as lazy frames over one filtered set.
+
+    The small ``base`` counts are kept for the four parts that sum them up;
+    unpersist ``base`` when the view is done.
+    """
     kept = events.where(where.predicate())
-    base = base_counts(kept)
+    base = base_counts(kept).persist()
     totals = base.groupBy("directory_name").agg(
         F.sum("cnt").alias("cnt"), F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts")
     )
@@ -140,6 +144,7 @@ def analysis(events: DataFrame, where: EventFilter) -> dict[str, DataFrame]:
         return base.groupBy(column).agg(F.sum("cnt").alias("cnt")).orderBy(F.col("cnt").desc(), column)
 
     return {
+        "base": base,
         "summary": totals.agg(
             F.coalesce(F.sum("cnt"), F.lit(0)).alias("total"),
             F.min("min_ts").alias("min_ts"),

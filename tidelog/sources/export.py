@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.functions.times import iso_text
 from tidelog.operators.paging import event_order
 from tidelog.schema import EXPORT_HEADERS
 
@@ -20,7 +21,7 @@ def export_rows(events: DataFrame, headers: bool = False) -> DataFrame:
     def cell(name: str):
         c = F.col(name)
         if name == "timestamp":
-            out = F.replace(c.cast("string"), F.lit(" "), F.lit("T"))
+            out = iso_text(c)
         elif name == "duration_ms":
             return F.coalesce(c, F.lit(0.0))
         elif name in CUT_COLUMNS:

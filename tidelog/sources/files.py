@@ -87,25 +87,37 @@ def date_glob(start: datetime, end: datetime) -> str:
 
 
 def list_files(spark: SparkSession, layout: Layout, glob: str = "*.log*") -> DataFrame:
-    """One row per hour file: its facts and size, without reading content."""
-    found = (
+    """One row per hour file: its facts and size, without reading content.
+
+    A scan skips files of zero bytes, so the names come from the file index
+    that Spark keeps on the driver and only the sizes from a scan.
+    """
+    listing = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .load(layout.root)
-        .select(local_path(F.col("_metadata.file_path")).alias("path"), F.col("length"))
+    )
+    names = spark.createDataFrame([(uri,) for uri in listing.inputFiles()], "uri string")
+    sizes = listing.select(local_path(F.col("_metadata.file_path")).alias("path"), "length")
+    found = names.select(_short_scheme(local_path(F.col("uri"))).alias("path")).join(
+        sizes.withColumn("path", _short_scheme(F.col("path"))), "path", "left"
     )
     key = layout.file_key(F.col("path"))
     return (
-        found.select(key.alias("file_path"), "length")
-        .groupBy("file_path")
-        .agg(F.sum("length").alias("file_size"))
+        found.groupBy(key.alias("file_path"))
+        .agg(F.coalesce(F.sum("length"), F.lit(0)).alias("file_size"))
         .withColumn("file_id", F.xxhash64("file_path"))
         .withColumn("directory_name", layout.directory_name(F.col("file_path")))
         .withColumn("source_file", layout.source_file(F.col("file_path")))
     )
 
 
+def _short_scheme(path: Column) -> Column:
+    """``file:/x`` for ``file:///x``: both forms name one local file."""
+    return F.regexp_replace(path, r"^file:/+", "file:/")
+
+
 def as_lines(text: DataFrame, layout: Layout) -> DataFrame:
     """Lines keyed by file and split, from ``value, uri, block_start`` rows."""
     path = local_path(F.col("uri"))

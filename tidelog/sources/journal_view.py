@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from tidelog.functions.codes import classified
 from tidelog.functions.times import hour_file, ntz, start_of
 from tidelog.operators.numbering import number_within
-from tidelog.schema import EVENT_COLUMNS, EVENT_SCHEMA, PROPERTY_COLUMNS
+from tidelog.schema import EVENT_COLUMNS, PROPERTY_COLUMNS
 from tidelog.session import scratch_path
-from tidelog.sources.store import write_events
+from tidelog.sources.store import EventStore
 
 LOADED_AT = "2024-02-01 00:00:00"
 
@@ -98,9 +98,9 @@ def stored_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
         path = scratch_path(spark, "journal")
-        write_events(journal_from_events(read_events(spark, sf_dir)), path)
+        EventStore(spark, path).write(journal_from_events(read_events(spark, sf_dir)))
         _stored[key] = path
-    return spark.read.schema(EVENT_SCHEMA).parquet(_stored[key])
+    return EventStore(spark, _stored[key]).events()
 
 
 def stored_journal_path(spark: SparkSession, sf_dir: str) -> str:

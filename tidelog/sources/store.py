@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.schema import EVENT_COLUMNS, EVENT_SCHEMA, PARTITION_COLUMNS
+from tidelog.session import drop_path, matching_paths, path_exists
 
 # Fixed value: events are kept this many days.
 RETENTION_DAYS = 90
@@ -30,79 +32,59 @@ def laid_out(events: DataFrame, narrow: bool = False) -> DataFrame:
     return events.sortWithinPartitions(*SORT_KEY)
 
 
-def write_events(events: DataFrame, path: str, narrow: bool = False) -> None:
-    """Write events as a new partitioned table under ``path``."""
-    writer = laid_out(events.select(*EVENT_COLUMNS), narrow).write.partitionBy(*PARTITION_COLUMNS)
-    writer.option("compression", "zstd").parquet(path)
-
-
 class EventStore:
-    """A catalog table of events with whole-session replace, delete and expiry."""
+    """Events under one folder, with whole-session replace, delete and expiry.
 
-    def __init__(self, spark: SparkSession, table: str):
-        self.spark = spark
-        self.table = table
+    Nothing but the folder is needed: no catalog has to know the partitions.
+    """
 
-    def create(self) -> EventStore:
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in EVENT_SCHEMA)
-        self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} ({columns}) USING parquet "
-            f"OPTIONS (compression 'zstd') PARTITIONED BY ({', '.join(PARTITION_COLUMNS)})"
-        )
-        return self
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.path = path.rstrip("/")
 
     def events(self, session_id: str | None = None) -> DataFrame:
         """All events, or one session's (an unknown one has no rows)."""
-        table = self.spark.table(self.table)
-        return table if session_id is None else table.where(F.col("session_id") == session_id)
+        if not path_exists(self.spark, self.path):
+            return self.spark.createDataFrame([], EVENT_SCHEMA)
+        rows = self.spark.read.schema(EVENT_SCHEMA).parquet(self.path)
+        return rows if session_id is None else rows.where(F.col("session_id") == session_id)
+
+    def write(self, events: DataFrame, narrow: bool = False) -> None:
+        """Write events, replacing every (session, date) partition they touch."""
+        writer = laid_out(events.select(*EVENT_COLUMNS), narrow).write.mode("overwrite")
+        writer = writer.option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+        writer.partitionBy(*PARTITION_COLUMNS).parquet(self.path)
 
     def replace_session(self, session_id: str, events: DataFrame, narrow: bool = True) -> None:
         """Write a session, replacing all it had. Repeating it changes nothing."""
         self.delete_session(session_id)
-        rows = events.withColumn("session_id", F.lit(session_id)).select(*EVENT_COLUMNS)
-        (
-            laid_out(rows, narrow)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .insertInto(self.table)
-        )
-
-    def partitions(self) -> DataFrame:
-        """``session_id, event_date`` of every stored partition (metadata only)."""
-        spec = F.col("partition")
-        return self.spark.sql(f"SHOW PARTITIONS {self.table}").select(
-            F.regexp_extract(spec, r"session_id=([^/]*)", 1).alias("session_id"),
-            F.regexp_extract(spec, r"event_date=([^/]*)", 1).try_cast("date").alias("event_date"),
-            spec.alias("spec"),
-        )
-
-    def delete_session(self, session_id: str) -> None:
+        self.write(events.withColumn("session_id", F.lit(session_id)), narrow)
+
+    def delete_session(self, session_id: str) -> bool:
         """Drop the partitions of a session; other sessions are not touched."""
-        stored = self.partitions().where(F.col("session_id") == session_id).limit(1).collect()
-        if stored:
-            self.spark.sql(
-                f"ALTER TABLE {self.table} DROP IF EXISTS PARTITION (session_id = {_quoted(session_id)})"
-            )
+        folders = [
+            folder
+            for folder in matching_paths(self.spark, f"{self.path}/session_id=*")
+            if _partition_value(folder) == session_id
+        ]
+        return any([drop_path(self.spark, folder) for folder in folders])
 
     def expire(self, as_of: date, days: int = RETENTION_DAYS) -> list[str]:
         """Drop the dates older than ``as_of - days``; returns what was dropped."""
-        oldest = as_of - timedelta(days=days)
-        old = self.partitions().where(F.col("event_date") < F.lit(oldest)).select("event_date").distinct()
-        dropped = sorted(row["event_date"].isoformat() for row in old.collect())
-        for day in dropped:
-            self.spark.sql(f"ALTER TABLE {self.table} DROP IF EXISTS PARTITION (event_date = DATE'{day}')")
-        return dropped
-
-    def location(self) -> str:
-        described = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.table}")
-        return described.where("col_name = 'Location'").first()["data_type"]
+        oldest = (as_of - timedelta(days=days)).isoformat()
+        dropped = set()
+        for folder in matching_paths(self.spark, f"{self.path}/session_id=*/event_date=*"):
+            if _partition_value(folder) < oldest:
+                drop_path(self.spark, folder)
+                dropped.add(_partition_value(folder))
+        return sorted(dropped)
 
     def footprint(self) -> DataFrame:
-        return footprint(self.spark, self.location())
+        return footprint(self.spark, self.path)
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _partition_value(folder: str) -> str:
+    return unquote(folder.rsplit("/", 1)[1].split("=", 1)[1])
 
 
 def retained(events: DataFrame, as_of: date, days: int = RETENTION_DAYS) -> DataFrame:
