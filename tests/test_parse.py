@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions.codes import describe_error, error_code
-from tidelog.functions.text import property_arrays, property_value
+from tidelog.functions.text import property_arrays, property_values
 from tidelog.schema import EVENT_COLUMNS, PROPERTY_COLUMNS
 
 US = lambda *t: datetime(2026, 3, 10, *t)
@@ -80,10 +80,9 @@ def test_properties(spark):
     keys = sorted({k for _, want in PROPERTIES for k in want})
     df = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(PROPERTIES)], "i int, props string")
     k, v = property_arrays(F.col("props"))
-    got = df.select("i", *[property_value(k, v, key).alias(key) for key in keys]).orderBy("i").collect()
+    got = df.select("i", property_values(k, v, keys).alias("found")).orderBy("i").collect()
     for row, (text, want) in zip(got, PROPERTIES):
-        for key in keys:
-            assert row[key] == want.get(key), (text, key)
+        assert dict(zip(keys, row.found)) == {key: want.get(key) for key in keys}, text
 
 
 def test_properties_of_a_megabyte(spark):
@@ -91,7 +90,8 @@ def test_properties_of_a_megabyte(spark):
     texts = ["Sql='" + big.replace("'", "''") + "',Usr=u", "no equals sign " * 70_000 + ",Usr=u", "Sql='" + "a" * 1_000_000]
     df = spark.createDataFrame([(t,) for t in texts], "props string")
     k, v = property_arrays(F.col("props"))
-    rows = df.select(property_value(k, v, "Sql").alias("s"), property_value(k, v, "Usr").alias("u")).collect()
+    found = df.select(property_values(k, v, ["Sql", "Usr"]).alias("f"))
+    rows = found.select(F.col("f")[0].alias("s"), F.col("f")[1].alias("u")).collect()
     assert rows[0].s == big and rows[0].u == "u"
     assert rows[1].s is None and rows[1].u == "u"
     assert len(rows[2].s) == 1_000_001

@@ -137,7 +137,8 @@ def test_only_the_needed_columns_and_partitions_are_read(spark, logs, tmp_path):
     plan = slowest(store.events("s1"))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(session_id" in plan
     assert "GreaterThan(duration_ms,1000.0)" in plan
-    assert "planSQLText" not in plan and "TakeOrderedAndProject" in plan
+    assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
+    assert "planSQLText" not in slowest(store.events("s1"))._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
 
 
 def test_lines_keep_lone_carriage_returns(spark, logs):

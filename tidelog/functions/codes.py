@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.schema import ERROR_DESCRIPTIONS, MAX_ERROR_CODE
+from tidelog.schema import ERROR_DESCRIPTIONS
 
 # Patterns of an error code, the first that matches counts.
 ERROR_CODE_PATTERNS = (
@@ -18,26 +18,33 @@ SLOW_MS = 1000
 VERY_SLOW_MS = 5000
 
 
+# Whether any of them can match: one pass over the many texts without a code.
+ANY_ERROR_CODE = r"(?i)native=\d|Error[:\s]+\d|SQLState[=:]?\d{5}"
+
+
 def error_code_digits(text: Column) -> Column:
     """The digits of the first matching pattern in one text; NULL if none."""
-    found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in ERROR_CODE_PATTERNS]
-    return F.coalesce(*found)
+    native, error, state = [F.regexp_extract(text, p, 1) for p in ERROR_CODE_PATTERNS]
+    return F.when(
+        text.rlike(ANY_ERROR_CODE),
+        F.when(text.rlike(ERROR_CODE_PATTERNS[0]), native)
+        .when(text.rlike(ERROR_CODE_PATTERNS[1]), error)
+        .otherwise(state),
+    )
 
 
 def error_code(*texts: Column) -> Column:
     """The first non-zero code over the texts in order.
 
-    Codes too long for BIGINT come back as ``MAX_ERROR_CODE + 1``, which the
-    range check of the loader rejects.
+    A code beyond the range comes back as some number beyond it, which the
+    loader rejects.
     """
 
     def one(text: Column) -> Column:
-        digits = error_code_digits(text)
-        number = F.coalesce(
-            digits.try_cast("bigint"),
-            F.when(digits.isNotNull(), F.lit(MAX_ERROR_CODE + 1)),
-        )
-        return F.nullif(number, F.lit(0).cast("bigint"))
+        # A zero code is empty without its leading zeros; 18 digits fit BIGINT
+        # and are far beyond the range.
+        digits = F.ltrim(error_code_digits(text), F.lit("0"))
+        return F.substring(digits, 1, 18).try_cast("bigint")
 
     return F.coalesce(*[one(t) for t in texts])
 

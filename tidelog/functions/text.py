@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # One property: a key at the start of the text or after a comma, then a quoted
@@ -18,7 +18,13 @@ PROPERTY = (
 def preview(column: str | Column, length: int) -> Column:
     """The first ``length`` characters; NULL for an empty text."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.nullif(F.substring(c, 1, length), F.lit(""))
+    return F.when(c != "", F.substring(c, 1, length))
+
+
+def with_previews(df: DataFrame, columns: tuple[str, ...], length: int) -> DataFrame:
+    """The long texts cut for display. Done ahead of a sort, so that a top-k
+    holds only what is shown of each row."""
+    return df.withColumns({name: preview(name, length) for name in columns})
 
 
 def single_byte_text(raw: Column, codepage: str) -> Column:
@@ -36,12 +42,24 @@ def property_arrays(text: Column) -> tuple[Column, Column]:
     """Keys and unquoted values of a property list, last occurrence first."""
     keys = F.reverse(F.regexp_extract_all(text, F.lit(PROPERTY), F.lit(1)))
     values = F.reverse(F.regexp_extract_all(text, F.lit(PROPERTY), F.lit(2)))
-    return F.transform(keys, trim_all), F.transform(values, lambda v: unquote(trim_all(v)))
+    return F.transform(keys, trim_all), F.transform(F.transform(values, trim_all), unquote)
+
+
+def property_values(keys: Column, values: Column, wanted: list[str]) -> Column:
+    """The last value given for each wanted key, as an array; NULL when absent.
 
+    The one-element outer array binds the two lists to a variable, so they are
+    computed once per row and not once per wanted key.
+    """
+    names = F.array(*[F.lit(key) for key in wanted])
+    lists = F.array(F.struct(keys.alias("keys"), values.alias("values")))
+
+    def look_up(pair: Column) -> Column:
+        return F.transform(
+            names, lambda key: F.get(pair["values"], F.array_position(pair["keys"], key).cast("int") - 1)
+        )
 
-def property_value(keys: Column, values: Column, key: str) -> Column:
-    """The last value given for ``key``; NULL when absent."""
-    return F.get(values, F.array_position(keys, key).cast("int") - 1)
+    return F.get(F.transform(lists, look_up), F.lit(0))
 
 
 def unquote(raw: Column) -> Column:

@@ -152,9 +152,14 @@ def text_of(raw: Column, codepage: Column) -> Column:
     )
 
 
-def split_table(pieces: DataFrame, encoding: str, codepage: str) -> DataFrame:
+def split_table(
+    pieces: DataFrame, encoding: str, codepage: str, facts: dict[str, Column] | None = None
+) -> DataFrame:
     """Per split: header count, ordinal offset, line count, and file encoding.
 
+    ``facts`` are columns computed from ``file_path``, once per split here
+    rather than once per record later.
+
     The encoding is a vote of the file's non-ASCII lines: more of them broken
     than valid as UTF-8 means the file is in the single-byte code page.
     """
@@ -182,7 +187,7 @@ def split_table(pieces: DataFrame, encoding: str, codepage: str) -> DataFrame:
         "n_lines",
         chosen.alias("encoding"),
         F.when(low != high, clash).otherwise(low).alias("file_path"),
-    )
+    ).withColumns(facts or {})
 
 
 def assemble(
@@ -191,12 +196,14 @@ def assemble(
     header: str = HEADER,
     encoding: str = "auto",
     codepage: str = "cp1251",
+    facts: dict[str, Column] | None = None,
 ) -> Assembled:
     """Records of the journal files in ``lines``.
 
     ``lines`` has ``file_id, part, block_start, file_path, value`` in file order
-    within each split. A record row has ``file_id, file_path, event_seq``
-    (ordinal in its file, from 1), ``n_lines``, ``record`` and ``oversized``.
+    within each split. A record row has ``file_id, file_path``, the facts,
+    ``event_seq`` (ordinal in its file, from 1), ``n_lines``, ``record`` and
+    ``oversized``.
     """
     pieces_path = scratch_path(spark, "pieces")
     marked_lines(lines, header).mapInArrow(to_pieces, PIECE_SCHEMA).write.option(
@@ -205,20 +212,21 @@ def assemble(
     pieces = spark.read.parquet(pieces_path)
 
     splits_path = scratch_path(spark, "splits")
-    split_table(pieces, encoding, codepage).write.parquet(splits_path)
+    split_table(pieces, encoding, codepage, facts).write.parquet(splits_path)
     splits = spark.read.parquet(splits_path)
 
-    return Assembled(number_records(pieces, splits), splits, (pieces_path, splits_path))
+    records = number_records(pieces, splits, list(facts or {}))
+    return Assembled(records, splits, (pieces_path, splits_path))
 
 
-def number_records(pieces: DataFrame, splits: DataFrame) -> DataFrame:
+def number_records(pieces: DataFrame, splits: DataFrame, facts: list[str]) -> DataFrame:
     """Give every piece its ordinal and merge the pieces at split borders."""
-    lookup = splits.select(*SPLIT_KEY, "offset", "encoding", F.col("file_path").alias("path"))
+    lookup = splits.select(*SPLIT_KEY, "offset", "encoding", "file_path", *facts)
     if splits.count() <= BROADCAST_ROWS:
         lookup = F.broadcast(lookup)
+    about_file = ["file_id", "file_path", *facts]
     numbered = pieces.drop("file_path").join(lookup, list(SPLIT_KEY)).select(
-        "file_id",
-        F.col("path").alias("file_path"),
+        *about_file,
         (F.col("offset") + F.col("piece")).alias("event_seq"),
         "part",
         "block_start",
@@ -231,8 +239,7 @@ def number_records(pieces: DataFrame, splits: DataFrame) -> DataFrame:
     )
     at_border = (F.col("piece") == 0) | F.col("is_last")
     inner = numbered.where(~at_border).select(
-        "file_id",
-        "file_path",
+        *about_file,
         "event_seq",
         "n_lines",
         text_of(F.col("raw"), F.col("encoding")).alias("record"),
@@ -240,9 +247,9 @@ def number_records(pieces: DataFrame, splits: DataFrame) -> DataFrame:
     )
     # Ordinal 0: lines above the first header of a file, which have no record.
     border = numbered.where(at_border & (F.col("event_seq") > 0))
-    key = ["file_id", "file_path", "event_seq"]
+    key = [*about_file, "event_seq"]
     too_long = (
-        border.groupBy(*key)
+        border.groupBy("file_id", "event_seq")
         .agg(F.sum("n_bytes").alias("total"))
         .where(F.col("total") > MAX_RECORD_BYTES)
         .select("file_id", "event_seq", F.lit(True).alias("oversized"))

@@ -15,7 +15,7 @@ from tidelog.schema import EVENT_KEY
 SORTABLE = ("timestamp", "duration_ms", "event_name", "level")
 MAX_PAGE_SIZE = 1000
 # Rows a top-k may keep in one task. Pages beyond it are located by counting.
-SHALLOW_ROWS = 100_000
+SHALLOW_ROWS = 10_000
 
 
 def event_order(sort_by: str | None = "timestamp", sort_order: str | None = "desc") -> list[Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.codes import classified, error_code
-from tidelog.functions.text import property_arrays, property_value, trim_all
+from tidelog.functions.text import property_arrays, property_values, trim_all
 from tidelog.functions.times import ntz
 from tidelog.schema import (
     EVENT_COLUMNS,
@@ -22,25 +22,26 @@ from tidelog.sources.files import Layout, base_hour
 REJECT_COLUMNS = ["file_path", "directory_name", "source_file", "line_number", "reason", "record"]
 
 
-def header_fields(records: DataFrame, layout: Layout) -> DataFrame:
+def file_facts(layout: Layout) -> dict[str, Column]:
+    """What a file's path says about all its records."""
+    path = F.col("file_path")
+    source_file = layout.source_file(path)
+    return {
+        "directory_name": layout.directory_name(path),
+        "source_file": source_file,
+        "hour": base_hour(source_file),
+    }
+
+
+def header_fields(records: DataFrame) -> DataFrame:
     """Split the header off: event time, duration, name, level, property text."""
-    source_file = layout.source_file(F.col("file_path"))
     # The header has exactly three commas before the properties.
-    parts = F.split(F.col("record"), ",", 4)
-    stamped = records.withColumns(
-        {
-            "directory_name": layout.directory_name(F.col("file_path")),
-            "source_file": source_file,
-            "hour": base_hour(source_file),
-            "parts": parts,
-        }
-    ).withColumn("clock", F.ltrim(F.get("parts", F.lit(0)), F.lit("\uFEFF")))
-    # mm:ss.fraction-duration; the fraction is padded or cut to microseconds.
-    tail = F.split(F.substring("clock", 7, 1_000), "-", 2)
-    fraction = F.rpad(F.get(tail, F.lit(0)), 6, "0")
-    text = F.concat(
-        "hour", F.lit(":"), F.substring("clock", 1, 2), F.lit(":"), F.substring("clock", 4, 2), F.lit("."), fraction
+    stamped = records.withColumn("parts", F.split(F.col("record"), ",", 4)).withColumn(
+        "clock", F.ltrim(F.get("parts", F.lit(0)), F.lit("\uFEFF"))
     )
+    # mm:ss.fraction-duration; the fraction is padded or cut to microseconds.
+    fraction = F.rpad(F.substring(F.substring_index("clock", "-", 1), 7, 6), 6, "0")
+    text = F.concat("hour", F.lit(":"), F.substring("clock", 1, 5), F.lit("."), fraction)
     return stamped.select(
         "file_id",
         "file_path",
@@ -51,7 +52,7 @@ def header_fields(records: DataFrame, layout: Layout) -> DataFrame:
         "oversized",
         "hour",
         text.try_cast("timestamp_ntz").alias("timestamp"),
-        F.get(tail, F.lit(1)).try_cast("bigint").alias("duration_us"),
+        F.substring_index("clock", "-", -1).try_cast("bigint").alias("duration_us"),
         F.ltrim(F.get("parts", F.lit(1)), F.lit(" \t\r\n\f\u000b")).alias("event_name"),
         trim_all(F.get("parts", F.lit(2))).try_cast("bigint").alias("level"),
         F.get("parts", F.lit(3)).alias("props"),
@@ -60,17 +61,24 @@ def header_fields(records: DataFrame, layout: Layout) -> DataFrame:
 
 
 def properties(df: DataFrame) -> DataFrame:
-    """One column per known property, ``''`` when absent."""
+    """One column per known property, ``''`` when absent.
+
+    The values are looked up in one array expression and then taken apart:
+    a lookup expression per column would make the generated method too long
+    for the JVM to compile.
+    """
     keys, values = property_arrays(F.col("props"))
-    listed = df.withColumns({"keys": keys, "values": values})
-    columns = {}
-    for key, name in PROPERTY_COLUMNS.items():
-        found = property_value(F.col("keys"), F.col("values"), key)
+    wanted = [*PROPERTY_COLUMNS, *PROPERTY_FALLBACKS.values()]
+    listed = df.withColumn("found", property_values(keys, values, wanted))
+
+    def value(key: str) -> Column:
+        found = F.get("found", F.lit(wanted.index(key)))
         if key in PROPERTY_FALLBACKS:
-            other = property_value(F.col("keys"), F.col("values"), PROPERTY_FALLBACKS[key])
-            found = F.coalesce(found, other)
-        columns[name] = F.coalesce(found, F.lit(""))
-    return listed.withColumns(columns).drop("keys", "values")
+            found = F.coalesce(found, F.get("found", F.lit(wanted.index(PROPERTY_FALLBACKS[key]))))
+        return F.coalesce(found, F.lit(""))
+
+    columns = {name: value(key) for key, name in PROPERTY_COLUMNS.items()}
+    return listed.withColumns(columns).drop("found")
 
 
 def reject_reason() -> Column:
@@ -87,7 +95,6 @@ def reject_reason() -> Column:
 
 def parse_records(
     records: DataFrame,
-    layout: Layout,
     start=None,
     end=None,
     include_exception: bool = False,
@@ -97,7 +104,7 @@ def parse_records(
     Events outside ``[start, end]`` are left out; ordinals and line counts were
     fixed before, so the filter does not change them.
     """
-    df = header_fields(records, layout)
+    df = header_fields(records)
     if start is not None:
         df = df.where(F.col("timestamp").isNull() | (F.col("timestamp") >= ntz(start)))
     if end is not None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.codes import describe_error
 from tidelog.functions.numbers import round_ratio
+from tidelog.functions.text import with_previews
 from tidelog.operators.filters import EventFilter, has_db_error, is_filled, is_slow
 from tidelog.operators.paging import event_order
 from tidelog.operators.quantiles import exact_quantiles
@@ -102,14 +103,15 @@ def filter_ratio(events: DataFrame, sessions: DataFrame, where: EventFilter) ->
 
 
 def latest_errors(events: DataFrame, n: int = TOP_ROWS) -> DataFrame:
-    rows = events.where(has_db_error()).orderBy(*event_order("timestamp", "desc")).limit(n)
-    return rows.select(*[shown(name, CUT, TEXT_PREVIEW) for name in ERROR_ROW])
+    rows = with_previews(events.where(has_db_error()), CUT, TEXT_PREVIEW)
+    latest = rows.orderBy(*event_order("timestamp", "desc")).limit(n)
+    return latest.select(*[shown(name) for name in ERROR_ROW])
 
 
 def slowest(events: DataFrame, n: int = TOP_ROWS) -> DataFrame:
     order = [F.col("duration_ms").desc(), *[F.col(name).asc() for name in EVENT_KEY]]
-    rows = events.where(is_slow()).orderBy(*order).limit(n)
-    return rows.select(*[shown(name, CUT, TEXT_PREVIEW) for name in SLOW_ROW])
+    rows = with_previews(events.where(is_slow()), CUT, TEXT_PREVIEW).orderBy(*order).limit(n)
+    return rows.select(*[shown(name) for name in SLOW_ROW])
 
 
 def timeline(events: DataFrame, width: str = "1 second", buckets: int = TIMELINE_BUCKETS) -> DataFrame:

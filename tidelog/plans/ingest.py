@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.numbers import round_ratio
 from tidelog.operators.assemble import Assembled, assemble
-from tidelog.operators.parse import events_of, parse_records, rejects_of
+from tidelog.operators.parse import events_of, file_facts, parse_records, rejects_of
 from tidelog.session import drop_path, path_exists, scratch_path
 from tidelog.sources.files import Layout, hour_glob, list_files, read_lines
 from tidelog.sources.store import EventStore
@@ -55,8 +55,8 @@ def parse_lines(
     stats are all taken from them, and filters on the reject reason read a
     stored column instead of repeating the pattern matching.
     """
-    assembled = assemble(spark, lines, encoding=encoding, codepage=codepage)
-    parsed = parse_records(assembled.records, layout, start, end, include_exception)
+    assembled = assemble(spark, lines, encoding=encoding, codepage=codepage, facts=file_facts(layout))
+    parsed = parse_records(assembled.records, start, end, include_exception)
     path = scratch_path(spark, "parsed")
     parsed.write.option("compression", "zstd").parquet(path)
     parsed = spark.read.parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.text import preview
+from tidelog.functions.text import with_previews
 from tidelog.functions.times import to_millisecond
 from tidelog.operators.filters import EventFilter
 from tidelog.operators.paging import check_page, page_totals, take_slice
@@ -32,12 +32,8 @@ ANALYSIS_LIST = (
 )
 
 
-def shown(name: str, cut: tuple[str, ...], length: int) -> Column:
-    if name in cut:
-        return preview(name, length).alias(name)
-    if name == "duration_ms":
-        return F.coalesce(name, F.lit(0.0)).alias(name)
-    return F.col(name)
+def shown(name: str) -> Column:
+    return F.coalesce(name, F.lit(0.0)).alias(name) if name == "duration_ms" else F.col(name)
 
 
 def search_events(
@@ -50,10 +46,9 @@ def search_events(
 ) -> DataFrame:
     """One page of the full event list, renamed for display, texts cut."""
     offset, limit = check_page(page, page_size)
-    rows = take_slice(events.where(where.predicate()), offset, limit, sort_by, sort_order)
-    return rows.select(
-        *[shown(name, LIST_CUT, LIST_PREVIEW).alias(out) for name, out in LIST_COLUMNS.items()]
-    )
+    kept = with_previews(events.where(where.predicate()), LIST_CUT, LIST_PREVIEW)
+    rows = take_slice(kept, offset, limit, sort_by, sort_order)
+    return rows.select(*[shown(name).alias(out) for name, out in LIST_COLUMNS.items()])
 
 
 def count_events(events: DataFrame, where: EventFilter, page_size: int = 50) -> DataFrame:
@@ -63,8 +58,8 @@ def count_events(events: DataFrame, where: EventFilter, page_size: int = 50) ->
 def analysis_events(events: DataFrame, where: EventFilter, page: int = 1, page_size: int = 50) -> DataFrame:
     """One page of the short event list, newest first."""
     offset, limit = check_page(page, page_size)
-    rows = take_slice(events.where(where.predicate()), offset, limit)
-    return rows.select(*[shown(name, ("context", "sql", "exception"), LIST_PREVIEW) for name in ANALYSIS_LIST])
+    kept = with_previews(events.where(where.predicate()), ("context", "sql", "exception"), LIST_PREVIEW)
+    return take_slice(kept, offset, limit).select(*[shown(name) for name in ANALYSIS_LIST])
 
 
 def event_detail(events: DataFrame, index: int) -> DataFrame:
@@ -76,7 +71,12 @@ def event_detail(events: DataFrame, index: int) -> DataFrame:
     )
 
 
-def within_sessions(events: DataFrame, sessions: DataFrame, time_from: Column | None = None, time_to: Column | None = None) -> DataFrame:
+def within_sessions(
+    events: DataFrame,
+    sessions: DataFrame,
+    time_from: Column | None = None,
+    time_to: Column | None = None,
+) -> DataFrame:
     """Events inside their session's interval (or the given bounds), cut to ms.
 
     For many sessions at once; a single session's bounds go into the filter as

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.functions.text import with_previews
 from tidelog.functions.times import iso_text
 from tidelog.operators.paging import event_order
 from tidelog.schema import EXPORT_HEADERS
@@ -25,12 +26,12 @@ def export_rows(events: DataFrame, headers: bool = False) -> DataFrame:
         elif name == "duration_ms":
             return F.coalesce(c, F.lit(0.0))
         elif name in CUT_COLUMNS:
-            out = F.substring(c, 1, EXPORT_TEXT)
+            out = c
         else:
             out = c.cast("string")
         return F.coalesce(out, F.lit(""))
 
-    newest = events.orderBy(*event_order("timestamp", "desc")).limit(EXPORT_ROWS)
+    newest = with_previews(events, CUT_COLUMNS, EXPORT_TEXT).orderBy(*event_order("timestamp", "desc")).limit(EXPORT_ROWS)
     return newest.select(
         *[cell(name).alias(header if headers else name) for name, header in EXPORT_HEADERS.items()]
     )

@@ -18,7 +18,7 @@ from tidelog.sources.store import EventStore
 
 LOADED_AT = "2024-02-01 00:00:00"
 
-_stored: dict[tuple[str, str], str] = {}
+_stored: dict[tuple[str, str], tuple[str, DataFrame]] = {}
 
 
 def journal_from_events(events: DataFrame) -> DataFrame:
@@ -93,16 +93,20 @@ def stored_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The journal as a stored event table, written once per application.
 
     Loading once and asking many questions is how the table is meant to be
-    used; the queries then get partition pruning and pushed-down filters.
+    used; the queries then get partition pruning and pushed-down filters. The
+    frame is kept with its file index, as the folder does not change any more.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _stored:
-        path = scratch_path(spark, "journal")
-        EventStore(spark, path).write(journal_from_events(read_events(spark, sf_dir)))
-        _stored[key] = path
-    return EventStore(spark, _stored[key]).events()
+    return _stored_journal(spark, sf_dir)[1]
 
 
 def stored_journal_path(spark: SparkSession, sf_dir: str) -> str:
-    stored_journal(spark, sf_dir)
-    return _stored[(spark.sparkContext.applicationId, sf_dir)]
+    return _stored_journal(spark, sf_dir)[0]
+
+
+def _stored_journal(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        store = EventStore(spark, scratch_path(spark, "journal"))
+        store.write(journal_from_events(read_events(spark, sf_dir)))
+        _stored[key] = (store.path, store.events())
+    return _stored[key]
