@@ -64,16 +64,20 @@ def exact_quantiles(
         .withColumn("_rank", F.least(F.col("low") + F.col("_side"), F.col("_n") - 1))
         .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_upto")))
     )
-    inside = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    hit_buckets = ranks.select(*group, "_b", "_before").distinct()
-    ranked = counts.join(hit_buckets, [*group, "_b"]).withColumn(
-        "_first", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0))
+    # The values of the few hit buckets, once per rank that falls into them.
+    inside = (
+        Window.partitionBy(*group, "_b", "name", "_side")
+        .orderBy("_v")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    first = F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0))
+    found = (
+        counts.join(ranks, [*group, "_b"])
+        .withColumn("_first", first)
+        .where((F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_c")))
     )
-    found = ranks.drop("_before").join(
-        ranked.drop("_before"), [*group, "_b"]
-    ).where((F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_c")))
     weight = F.when(F.col("_side") == 0, F.col("den") - F.col("rest")).otherwise(F.col("rest"))
-    per_name = found.groupBy(*group).agg(
+    return found.groupBy(*group).agg(
         *[
             (
                 F.sum(F.when(F.col("name") == name, F.col("_v") * weight)).cast("double")
@@ -82,4 +86,3 @@ def exact_quantiles(
             for name, f in quantiles.items()
         ]
     )
-    return per_name
