@@ -3,7 +3,9 @@
 Data: $BENCH_SF_DIR (default /root/testdata/sf0.1), cores: $BENCH_CPUS
 (default 8). Queries run on the stored event table after one warm-up, median of
 three. ``ingest`` parses the whole journal, rendered as log files beforehand,
-into the event table. ``value`` is the sum of the medians.
+into the event table: 3600 small hour files, so mostly the cost of files.
+``ingest_large`` parses five copies of it in one file per directory and day.
+``value`` is the sum of the medians.
 """
 
 from __future__ import annotations
@@ -17,10 +19,15 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
 
+from pyspark.sql import DataFrame  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
 from tidelog.checks.queries import QUERIES, rendered  # noqa: E402
 from tidelog.plans.ingest import ingest  # noqa: E402
 from tidelog.session import build_session, scratch_path  # noqa: E402
 from tidelog.sources.journal_view import LOADED_AT, stored_journal, stored_journal_path  # noqa: E402
+from tidelog.sources.render import record_text, write_files  # noqa: E402
+from tidelog.sources.files import Layout  # noqa: E402
 from tidelog.sources.store import EventStore, footprint  # noqa: E402
 
 HEADLINE = [
@@ -67,6 +74,17 @@ def timed(action, repeat: int = 3) -> float:
     return round(statistics.median(times), 4)
 
 
+def copies(events: DataFrame, n: int = 5) -> DataFrame:
+    """Each event n times, in one file per directory and day."""
+    day_file = F.concat(F.substring("source_file", 1, 6), F.lit("00.log"))
+    hour, line = F.hour("timestamp").cast("bigint"), F.col("line_number")
+    return (
+        events.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        .withColumn("line_number", (hour * 100_000_000 + line) * n + F.col("copy"))
+        .withColumn("source_file", day_file)
+    )
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -88,6 +106,13 @@ def main() -> None:
     store = EventStore(spark, scratch_path(spark, "bench-store"))
     queries["ingest"] = timed(lambda: ingest(spark, store, layout, "bench", LOADED_AT).count(), repeat=1)
 
+    wide = scratch_path(spark, "logs-large")
+    write_files(copies(stored_journal(spark, sf_dir)), record_text(), wide).write.format("noop").mode("overwrite").save()
+    large = EventStore(spark, scratch_path(spark, "bench-large"))
+    started = time.perf_counter()
+    loaded = ingest(spark, large, Layout(wide), "bench", LOADED_AT).agg(F.sum("events")).first()[0]
+    queries["ingest_large"] = round(time.perf_counter() - started, 4)
+
     sizes = footprint(spark, stored_journal_path(spark, sf_dir)).groupBy().sum("n_bytes").first()[0]
     print(
         json.dumps(
@@ -102,6 +127,9 @@ def main() -> None:
                 "journal_store_sec": round(store_seconds, 3),
                 "ingest_events_per_sec": round(events / queries["ingest"], 1),
                 "ingest_events_per_sec_per_core": round(events / queries["ingest"] / cpus, 1),
+                "ingest_large_events": loaded,
+                "ingest_large_events_per_sec": round(loaded / queries["ingest_large"], 1),
+                "ingest_large_events_per_sec_per_core": round(loaded / queries["ingest_large"] / cpus, 1),
                 "bytes_per_event_stored": round(sizes / events, 1),
             }
         )

@@ -51,6 +51,7 @@ def test_top_k_never_sorts_everything(spark, name):
 
 
 def test_filters_reach_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     plan = physical(search.count_events(journal(spark, SF), PAGE_FILTER))
     assert "GreaterThanOrEqual(duration_ms,100.0)" in plan
     assert "GreaterThanOrEqual(timestamp,2024-01-03T00:00" in plan

@@ -23,6 +23,8 @@ def build_session(app: str = "tidelog", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.parquet.compression.codec", "zstd")
         .config("spark.sql.session.timeZone", "UTC")
+        # Hour files can be small; more of them then share a task.
+        .config("spark.sql.files.openCostInBytes", str(1 << 20))
         .config("spark.ui.enabled", "false")
     )
     if master:
