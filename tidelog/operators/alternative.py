@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.codes import category, severity
-from tidelog.functions.text import trim_all
+from tidelog.functions.text import property_values, trim_all
 from tidelog.functions.times import ntz
 from tidelog.operators.assemble import assemble
+from tidelog.session import scratch_path
 
 # Fixed value: a record starts with a line that begins with this time.
 STAMP = r"^\s*(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+)"
@@ -73,24 +74,18 @@ def parse_alternative(spark: SparkSession, lines: DataFrame, start=None, end=Non
     whole record. Broken UTF-8 bytes are left out.
     """
     records = assemble(spark, lines, header=STAMP, encoding="utf-8").records
-    text = F.replace(F.col("record"), F.lit("�"), F.lit(""))
-    names, values = field_arrays(text)
+    text = F.replace(F.col("record"), F.lit("\uFFFD"), F.lit(""))
     stamp = F.regexp_replace(F.regexp_extract(text, STAMP, 1), r"\s+", " ")
-    df = records.withColumns(
-        {
-            "names": names,
-            "values": values,
-            "timestamp": F.substring_index(stamp, ".", 1).try_cast("timestamp_ntz"),
-        }
-    )
+    df = records.withColumn("timestamp", F.substring_index(stamp, ".", 1).try_cast("timestamp_ntz"))
     if start is not None:
         df = df.where(F.col("timestamp").isNull() | (F.col("timestamp") >= ntz(start)))
     if end is not None:
         df = df.where(F.col("timestamp").isNull() | (F.col("timestamp") <= ntz(end)))
+    wanted = [*TEXT_FIELDS, *WHOLE_FIELDS, *REAL_FIELDS]
+    df = df.withColumn("found", property_values(*field_arrays(text), wanted))
 
     def field(name: str) -> Column:
-        at = F.array_position(F.col("names"), name).cast("int") - 1
-        return F.coalesce(F.get(F.col("values"), at), F.lit(""))
+        return F.coalesce(F.get("found", F.lit(wanted.index(name))), F.lit(""))
 
     def number(name: str, kind: str) -> Column:
         value = field(name)
@@ -109,10 +104,14 @@ def parse_alternative(spark: SparkSession, lines: DataFrame, start=None, end=Non
     for name in needed:
         complete = complete & F.col(name).isNotNull()
     has_error = (F.col("exception") != "") | (F.col("sql_error_code") != "")
-    return typed.withColumns(
+    rows = typed.withColumns(
         {
             "severity": severity(F.col("level"), has_error, F.col("duration_ms")),
             "category": category(F.col("event_name"), F.col("locks"), has_error, F.col("duration_ms")),
             "ok": complete,
         }
     )
+    # Written once: a filter on ``ok`` then reads a column and parses nothing again.
+    path = scratch_path(spark, "alternative")
+    rows.write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)

@@ -83,8 +83,9 @@ def duration_stats(events: DataFrame, by_session: bool = False, approx: bool = F
         totals = rows.groupBy(*group).agg(*simple)
         if group:
             stats = totals.join(quantiles, group)
-        else:  # one row each
-            stats = totals.join(F.broadcast(quantiles), F.lit(True), "left")
+        else:  # one row each; without any duration there are no quantiles
+            one = F.lit(1)
+            stats = totals.withColumn("_one", one).join(quantiles.withColumn("_one", one), "_one", "left")
     ms = F.lit(1000.0)
     return stats.select(
         *group,
