@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.plans.ingest import ingest, load_stats, session_totals
+from tidelog.plans.sessions import loaded_session, session_list
+from tidelog.schema import SESSION_SCHEMA
 from tidelog.sources.files import Layout, date_glob, hour_glob, list_files, read_lines
 from tidelog.sources.store import EventStore
 
@@ -102,6 +104,13 @@ def test_load_stats_and_totals(spark, logs, load):
     }
     totals = session_totals(stats).first()
     assert (totals.total_files, totals.processed_files, totals.total_events, totals.progress_percent) == (4, 3, 1, 75.0)
+    start, end = datetime(2026, 3, 10, 5), datetime(2026, 3, 10, 6)
+    session = loaded_session(stats, "s1", start, end, "2026-03-10 06:00:00", "2026-03-10 06:01:30.5")
+    assert session.columns == SESSION_SCHEMA.fieldNames()
+    shown = session_list(session, "2026-03-11 00:00:00").first()
+    assert (shown.total_events, shown.elapsed_seconds, shown.start_date) == (1, 90.5, start)
+    with pytest.raises(ValueError):
+        loaded_session(stats, "s1", end, start, end, end)
 
 
 def test_ingest_is_repeatable(spark, logs, tmp_path):

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.times import micros_between, ntz, utc_to_moscow
+from tidelog.operators.filters import check_interval
 from tidelog.operators.intervals import first_overlap
-from tidelog.plans.ingest import progress_percent
+from tidelog.plans.ingest import progress_percent, session_totals
+from tidelog.schema import SESSION_SCHEMA
 
 DEFAULT_LIMIT = 100
 
@@ -131,6 +133,29 @@ def file_counts(events: DataFrame) -> DataFrame:
     )
 
 
+def loaded_session(
+    stats: DataFrame, session_id: str, start, end, started_at, completed_at, comment: str = ""
+) -> DataFrame:
+    """The session row of a finished load, from its file stats."""
+    check_interval(start, end)
+    row = session_totals(stats).withColumns(
+        {
+            "session_id": F.lit(session_id),
+            "start_date": ntz(start),
+            "end_date": ntz(end),
+            "directory_name": F.lit(None),
+            "status": F.lit("completed"),
+            "error_message": F.lit(None),
+            "started_at": ntz(started_at),
+            "completed_at": ntz(completed_at),
+            "created_at": ntz(started_at),
+            "comment": F.lit(comment),
+            "updated_at": ntz(completed_at),
+        }
+    )
+    return row.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SESSION_SCHEMA])
+
+
 def sessions_from_events(events: DataFrame) -> DataFrame:
     """Session rows computed from stored events: one per ``session_id``.
 
