@@ -142,7 +142,7 @@ def session_tops(events: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "event_type", TOP_TYPES).when(F.col("kind") == "user", TOP_USERS).otherwise(TOP_CODES)
     )
     return (
-        counted.withColumn("place", F.row_number().over(order))
+        counted.withColumn("place", F.row_number().over(order).cast("bigint"))
         .where(F.col("place") <= max(TOP_TYPES, TOP_USERS, TOP_CODES))
         .where(F.col("place") <= limit)
     )
