@@ -64,6 +64,10 @@ def test_deep_slices_match_a_full_sort(events, sort_by, sort_order):
     assert take_slice(events, 233, 40, sort_by, sort_order).collect() == want[233:273]
 
 
+def test_a_slice_beyond_the_last_row_is_empty(events):
+    assert take_slice(events, 900, 5, "level", "asc", shallow_rows=60).collect() == []
+
+
 def test_pages_by_offset_and_by_last_row_cover_everything(events):
     want = in_order(events.collect(), "level", "desc")
     pages, last = [], None
