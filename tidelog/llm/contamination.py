@@ -114,11 +114,11 @@ def without_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFr
 
 PAIRS_SQL = r"""
 WITH items AS (
-  SELECT item_id, list_distinct(list_transform(range(0, len(w) - 4), i -> array_to_string(w[i + 1 : i + 5], ' '))) AS s
+  SELECT item_id, list_distinct(list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS s
   FROM (SELECT item_id, string_split_regex(trim(lower(text), e' \t\n\x0b\f\r'), '[\x09-\x0D\x20]+') AS w FROM benchmark) WHERE len(w) >= 5),
 wanted AS (SELECT item_id, len(s) AS n, unnest(s) AS shingle FROM items),
 words AS (SELECT doc_id, string_split_regex(trim(lower(text), e' \t\n\x0b\f\r'), '[\x09-\x0D\x20]+') AS w FROM documents),
-held AS (SELECT DISTINCT doc_id, unnest(list_transform(range(0, len(w) - 4), i -> array_to_string(w[i + 1 : i + 5], ' '))) AS shingle FROM words WHERE len(w) >= 5)
+held AS (SELECT DISTINCT doc_id, unnest(list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS shingle FROM words WHERE len(w) >= 5)
 SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_matched, count(*) / n AS containment
 FROM held JOIN wanted USING (shingle) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n
 """
