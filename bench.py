@@ -110,7 +110,7 @@ def main() -> None:
     write_files(copies(stored_journal(spark, sf_dir)), record_text(), wide).write.format("noop").mode("overwrite").save()
     large = EventStore(spark, scratch_path(spark, "bench-large"))
     started = time.perf_counter()
-    loaded = ingest(spark, large, Layout(wide), "bench", LOADED_AT).agg(F.sum("events")).first()[0]
+    loaded = ingest(spark, large, Layout(wide, parts=True), "bench", LOADED_AT).agg(F.sum("events")).first()[0]
     queries["ingest_large"] = round(time.perf_counter() - started, 4)
 
     sizes = footprint(spark, stored_journal_path(spark, sf_dir)).groupBy().sum("n_bytes").first()[0]

@@ -107,7 +107,7 @@ def test_parts_of_a_split_hour_are_joined_in_order(spark, logs):
     logs("ib/26031005.log", "05:00.1-1,A,1,a=1\nmore\n")
     logs("ib/26031005.log.2", "tail of the first\n05:01.1-1,B,1,a=2\n")
     logs("ib/26031005.log.10", "05:02.1-1,C,1,a=3\nx\n")
-    rows = assemble(spark, read_lines(spark, Layout(logs.root))).records.orderBy("event_seq").collect()
+    rows = assemble(spark, read_lines(spark, Layout(logs.root, parts=True))).records.orderBy("event_seq").collect()
     assert [(r.event_seq, r.record) for r in rows] == [
         (1, "05:00.1-1,A,1,a=1\nmore\ntail of the first"),
         (2, "05:01.1-1,B,1,a=2"),
@@ -125,5 +125,8 @@ def test_a_record_too_long_for_one_value_is_marked_not_collected(spark, logs, mo
         rows = assemble(spark, read_lines(spark, Layout(logs.root))).records.orderBy("event_seq").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert [(r.event_seq, r.oversized, r.n_lines) for r in rows] == [(1, True, 502), (2, False, 1)]
-    assert len(rows[0].record) < 20_000
+    long = sorted((r for r in rows if r.event_seq == 1), key=lambda r: r.record_piece)
+    assert len(long) > 4 and all(r.oversized and len(r.record) < 20_000 for r in long)
+    assert [r.record_piece for r in long] == list(range(len(long))) and sum(r.n_lines for r in long) == 502
+    assert "\n".join(r.record for r in long) == "05:00.1-1,A,1,a=1\n" + "q" * 99 + "\n" + "\n".join(["w" * 99] * 500)
+    assert [(r.oversized, r.record_piece, r.n_lines) for r in rows if r.event_seq == 2] == [(False, 0, 1)]

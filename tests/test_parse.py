@@ -57,6 +57,13 @@ def test_header_and_time(logs, load):
 
 
 PROPERTIES = [
+    # a quoted part is a piece of its value wherever it stands, and nothing after it is lost
+    ("Sql='q'tail,Usr=u", {"Sql": "'q'tail", "Usr": "u"}),
+    ("Sql='q, Usr=a'tail,Ctx=1", {"Sql": "'q, Usr=a'tail", "Usr": None, "Ctx": "1"}),
+    ("Description=x 'a, Usr=c' y,Txt=2", {"Description": "x 'a, Usr=c' y", "Usr": None, "Txt": "2"}),
+    ("Txt=don't,Usr=u", {"Txt": "don't", "Usr": "u"}),
+    ("Txt='a' and 'b',Usr=u", {"Txt": "'a' and 'b'", "Usr": "u"}),
+    ("Txt=\"it's, \"\"so\"\"\",Usr=u", {"Txt": "it's, \"so\"", "Usr": "u"}),
     ("Usr=Ann,Rows=3", {"Usr": "Ann", "Rows": "3"}),
     ("Sql='SELECT a, b'", {"Sql": "SELECT a, b"}),
     ("Sql='it''s'", {"Sql": "it's"}),
@@ -146,6 +153,8 @@ def test_descriptions(spark):
     df = spark.createDataFrame([(1205,), (547,), (77,)], "code bigint")
     got = [r[0] for r in df.select(describe_error(F.col("code"), "Unknown")).collect()]
     assert got == ["Deadlock victim", "Foreign key violation", "Unknown"]
+    large = spark.createDataFrame([(3_000_000_000,), (4_294_967_295,)], "code bigint")
+    assert [r[0] for r in large.select(describe_error(F.col("code"), "Unknown")).collect()] == ["Unknown"] * 2
 
 
 CLASSES = [

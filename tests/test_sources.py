@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.plans.ingest import ingest, load_stats, session_totals
 from tidelog.plans.sessions import loaded_session, session_list
 from tidelog.schema import SESSION_SCHEMA
-from tidelog.sources.files import Layout, date_glob, hour_glob, list_files, read_lines
+from tidelog.sources.files import Layout, date_stems, hour_stems, list_files, read_lines
 from tidelog.sources.store import EventStore
 
 from .conftest import LOADED_AT
@@ -18,9 +18,10 @@ LINE = "00:01.5-1000,CALL,1,Usr={}\n"
 
 def test_hour_and_date_globs():
     start, end = datetime(2026, 3, 10, 22, 30), datetime(2026, 3, 12, 1, 0)
-    assert hour_glob(start, end) == "{26031022*.log*,26031023*.log*,260311*.log*,26031200*.log*,26031201*.log*}"
-    assert date_glob(datetime(2026, 3, 10, 22), datetime(2026, 3, 11, 1)) == "{260310*.log*,260311*.log*}"
-    assert hour_glob(datetime(2026, 3, 10, 5), datetime(2026, 3, 10, 5, 59)) == "{26031005*.log*}"
+    assert hour_stems(start, end) == ["26031022*", "26031023*", "260311*", "26031200*", "26031201*"]
+    assert date_stems(datetime(2026, 3, 10, 22), datetime(2026, 3, 11, 1)) == ["260310*", "260311*"]
+    assert Layout("/x").glob(hour_stems(datetime(2026, 3, 10, 5), datetime(2026, 3, 10, 5, 59))) == "{26031005*.log}"
+    assert Layout("/x", parts=True).glob() == "{*.log,*.log.[0-9]*}"
 
 
 def test_files_of_the_interval_only(spark, logs, load):
@@ -158,3 +159,48 @@ def test_lines_keep_lone_carriage_returns(spark, logs):
 @pytest.mark.parametrize("value", ["2024-02-30 00:00:00"])
 def test_impossible_dates_are_null(spark, value):
     assert spark.range(1).select(F.lit(value).try_cast("timestamp_ntz")).first()[0] is None
+
+
+def stored(store, session_id):
+    return sorted(r.usr for r in store.events(session_id).collect())
+
+
+def test_a_load_that_cannot_work_leaves_the_session(spark, logs, tmp_path):
+    logs("a/26031005.log", LINE.format("x") + LINE.format("y"))
+    store = EventStore(spark, str(tmp_path / "store"))
+    ingest(spark, store, Layout(logs.root), "s1", LOADED_AT)
+    before = stored(store, "s1")
+    assert len(before) == 2
+    assert ingest(spark, store, Layout(str(tmp_path / "nowhere")), "s1", LOADED_AT).count() == 0
+    with pytest.raises(ValueError):
+        ingest(spark, store, Layout(logs.root), "s1", LOADED_AT, datetime(2026, 3, 11), datetime(2026, 3, 10))
+    with pytest.raises(Exception):
+        store.replace_session("s1", store.events("s1").withColumn("usr", F.raise_error(F.lit("broken")).cast("string")))
+    assert stored(store, "s1") == before
+
+
+def test_a_session_is_replaced_by_part_of_itself(spark, logs, tmp_path):
+    logs("a/26031005.log", LINE.format("x") + LINE.format("y"))
+    logs("a/26031105.log", LINE.format("z"))
+    store = EventStore(spark, str(tmp_path / "store"))
+    ingest(spark, store, Layout(logs.root), "s[1]", LOADED_AT)
+    ingest(spark, store, Layout(logs.root), "other", LOADED_AT)
+    store.replace_session("s[1]", store.events("s[1]").where("usr = 'x'"))
+    assert stored(store, "s[1]") == ["x"] and stored(store, "other") == ["x", "y", "z"]
+    store.replace_session("s[1]", store.events("s[1]").where("usr = 'nobody'"))
+    assert stored(store, "s[1]") == [] and len(stored(store, "other")) == 3
+
+
+def test_only_hour_files_are_read(spark, logs, load):
+    logs("a/26031005.log", LINE.format("x"))
+    logs("a/26031005.log.1", LINE.format("y"))
+    logs("a/26031005.log.bak", "junk")
+    result = load(logs)
+    assert [r.usr for r in result.events.collect()] == ["x"] and result.rejects.count() == 0
+    assert list_files(spark, Layout(logs.root)).count() == 1
+
+
+def test_unknown_encodings_are_refused(spark, logs, load):
+    logs("a/26031005.log", LINE.format("x"))
+    with pytest.raises(Exception, match="unknown encoding"):
+        load(logs, encoding="koi8-r").events.collect()

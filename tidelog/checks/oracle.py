@@ -387,4 +387,8 @@ SELECT *, CASE WHEN events > 0 THEN 'completed' ELSE 'empty' END AS status FROM
   coalesce(CAST(mssql_error_code AS VARCHAR), '') AS sql_error_code, locks, CAST(0 AS BIGINT) AS rows,
   CAST(0 AS BIGINT) AS rows_affected, severity, category FROM journal""",
     "stream_ingest": ALL_EVENTS,
+    "stream_stats": f"""{JOURNAL} SELECT directory_name, source_file, CAST(sum({LINES}) AS BIGINT) AS lines,
+  count(*) AS events, CAST(0 AS BIGINT) AS errors FROM journal GROUP BY 1, 2""",
+    "footprint": f"""{SESSIONS} SELECT session_id, total_events, start_date, end_date, true AS is_stored, true AS mb_agrees
+FROM sessions_v""",
 }

@@ -118,7 +118,12 @@ def delete_sessions(spark, sf_dir):
 def stored_sizes(spark, sf_dir):
     sizes = footprint(spark, stored_journal_path(spark, sf_dir))
     rows = session_rows(spark, sf_dir).select("session_id", "total_events", "start_date", "end_date")
-    return sessions.with_footprint(rows, sizes)
+    # Bytes depend on the writer, so they are compared with each other only.
+    mb = F.round(F.col("n_bytes") / F.lit(1048576.0), 2)
+    return sessions.with_footprint(rows, sizes).select(
+        "session_id", "total_events", "start_date", "end_date",
+        ((F.col("n_files") > 0) & (F.col("n_bytes") > 0)).alias("is_stored"), (F.col("size_mb") == mb).alias("mb_agrees"),
+    )
 
 
 # --- export ----------------------------------------------------------------
@@ -143,15 +148,15 @@ def rendered(spark: SparkSession, sf_dir: str, kind: str) -> Layout:
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _rendered:
         rows, root = journal(spark, sf_dir), scratch_path(spark, f"logs-{kind}")
-        if kind == "plain":
+        if kind in ("plain", "hours"):
             text = record_text()
         elif kind == "damaged":
             text = record_text(F.when(is_damaged(), broken_clock()).otherwise(clock_text(F.col("timestamp"))))
         else:
             text = alternative_text(alternative_fields())
-        write_files(rows, text, root).write.format("noop").mode("overwrite").save()
+        write_files(rows, text, root, whole_hours=kind == "hours").write.format("noop").mode("overwrite").save()
         _rendered[key] = root
-    return Layout(_rendered[key])
+    return Layout(_rendered[key], parts=kind != "hours")
 
 
 def is_damaged():
@@ -241,28 +246,45 @@ def store_lifecycle(spark, sf_dir):
     store, rows = EventStore(spark, scratch_path(spark, "lifecycle")), journal(spark, sf_dir)
     store.write(rows)
     day_ten = F.col("session_id") == "s_20240110"
-    store.replace_session("s_20240110", rows.where(day_ten & (F.col("level") < 3)))
-    store.replace_session("s_20240110", rows.where(day_ten & (F.col("level") < 3)))
+    store.replace_session("s_20240110", rows.where(day_ten & (F.col("level") < 4)))
+    store.replace_session("s_20240110", store.events("s_20240110").where(F.col("level") < 3))
     store.delete_session("s_20240120")
     store.expire(date(2024, 4, 5))
     return store.events().select("session_id", "timestamp", "directory_name", "source_file", "line_number", "sql")
 
 
 def stream_ingest(spark, sf_dir):
-    """The log files followed in two or more micro-batches."""
+    """The log files followed in four or more micro-batches."""
+    return by_day(followed(spark, sf_dir)[0].events())
+
+
+def stream_stats(spark, sf_dir):
+    """What the micro-batches have counted, file by file."""
+    files = Layout(rendered(spark, sf_dir, "hours").root)
+    path = F.col("file_path")
+    counted = spark.read.parquet(followed(spark, sf_dir)[1])
+    return counted.select(
+        files.directory_name(path).alias("directory_name"), files.source_file(path).alias("source_file"), "lines", "events", "errors"
+    )
+
+
+def followed(spark: SparkSession, sf_dir: str) -> tuple[EventStore, str]:
+    """The store and the stats of a folder that was followed anew."""
     store, stats = EventStore(spark, scratch_path(spark, "stream")), scratch_path(spark, "stream-stats")
+    layout = rendered(spark, sf_dir, "hours")
+    n_files = list_files(spark, layout).count()
     query = follow(
         spark,
-        rendered(spark, sf_dir, "plain"),
+        layout,
         store,
         "live",
         scratch_path(spark, "stream-state"),
         LOADED_AT,
         stats_path=stats,
-        max_files=2000,
+        max_files=-(-n_files // 4),
     )
     query.awaitTermination()
-    return by_day(store.events())
+    return store, stats
 
 
 QUERIES = {
@@ -345,4 +367,5 @@ QUERIES = {
     "ingest_totals": ingest_totals,
     "alt_layout_roundtrip": alternative_roundtrip,
     "stream_ingest": stream_ingest,
+    "stream_stats": stream_stats,
 }

@@ -41,19 +41,19 @@ def error_code(*texts: Column) -> Column:
     """
 
     def one(text: Column) -> Column:
-        # A zero code is empty without its leading zeros; 18 digits fit BIGINT
-        # and are far beyond the range.
+        # A zero code is empty without its leading zeros; more than 18 digits
+        # may not fit BIGINT and are far beyond the range anyway.
         digits = F.ltrim(error_code_digits(text), F.lit("0"))
-        return F.substring(digits, 1, 18).try_cast("bigint")
+        return F.when(F.length(digits) > 18, F.lit(10**18)).otherwise(digits.try_cast("bigint"))
 
     return F.coalesce(*[one(t) for t in texts])
 
 
 def describe_error(code: Column, default: str) -> Column:
     """Description of a code from the fixed ten-entry table."""
-    pairs = [F.lit(v) for kv in ERROR_DESCRIPTIONS.items() for v in kv]
+    pairs = [c for key, text in ERROR_DESCRIPTIONS.items() for c in (F.lit(key).cast("bigint"), F.lit(text))]
     table = F.create_map(*pairs)
-    return F.coalesce(F.try_element_at(table, code.cast("int")), F.lit(default))
+    return F.coalesce(F.try_element_at(table, code.cast("bigint")), F.lit(default))
 
 
 def category(event_name: Column, locks: Column, has_error: Column, ms: Column) -> Column:

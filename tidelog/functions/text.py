@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# One property: a key at the start of the text or after a comma, then a quoted
-# value (a doubled quote stands for itself) or everything up to the next comma.
-# All repetitions are possessive and a match can only start at a comma, so the
-# scan is linear even on texts of many megabytes.
-PROPERTY = (
-    r"(?:^|,)\s*+([^=,\s][^=,]*+)=\s*+"
-    r"""("(?:[^"]++|"")*+"|'(?:[^']++|'')*+'|[^,]*+)"""
-)
+# Text in quotes; a doubled quote stands for itself.
+_IN_DOUBLE, _IN_SINGLE = r'"(?:[^"]++|"")*+"', r"'(?:[^']++|'')*+'"
+# One property: a key at the start of the text or after a comma, then its value
+# up to the next comma outside quotes. Quoted parts may stand anywhere in a
+# value; a quote that is never closed is a plain character. All repetitions are
+# possessive and a match can only start at a comma, so the scan is linear even
+# on texts of many megabytes.
+PROPERTY = rf"""(?:^|,)\s*+([^=,\s][^=,]*+)=\s*+((?:[^,"']++|{_IN_DOUBLE}|{_IN_SINGLE}|["'])*+)"""
 
 
 def preview(column: str | Column, length: int) -> Column:
@@ -63,18 +63,11 @@ def property_values(keys: Column, values: Column, wanted: list[str]) -> Column:
 
 
 def unquote(raw: Column) -> Column:
-    """Drop enclosing quotes and undouble that quote character inside."""
+    """Drop quotes that enclose the whole value and undouble them inside."""
     body = F.substr(raw, F.lit(2), F.length(raw) - 2)
-    quoted = F.length(raw) >= 2
     return (
-        F.when(
-            quoted & raw.startswith("'") & raw.endswith("'"),
-            F.replace(body, F.lit("''"), F.lit("'")),
-        )
-        .when(
-            quoted & raw.startswith('"') & raw.endswith('"'),
-            F.replace(body, F.lit('""'), F.lit('"')),
-        )
+        F.when(raw.rlike(rf"^{_IN_SINGLE}$"), F.replace(body, F.lit("''"), F.lit("'")))
+        .when(raw.rlike(rf"^{_IN_DOUBLE}$"), F.replace(body, F.lit('""'), F.lit('"')))
         .otherwise(raw)
     )
 

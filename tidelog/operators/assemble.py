@@ -33,7 +33,7 @@ from tidelog.session import BROADCAST_ROWS, scratch_path
 HEADER = r"^\uFEFF?\d{2}:\d{2}\.\d+-\d+,\s*[^,]+,\s*\d+,"
 
 # A record is one string value; the JVM cannot hold one beyond 2 GiB. Longer
-# ones keep their first piece and are reported as rejected.
+# ones stay in the pieces their file splits hold, which are all rejected.
 MAX_RECORD_BYTES = 1 << 30
 
 SPLIT_KEY = ("file_id", "part", "block_start")
@@ -145,10 +145,12 @@ def to_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_of(raw: Column, codepage: Column) -> Column:
     """Valid text of raw bytes: UTF-8 with U+FFFD for broken bytes, or a code page."""
+    unknown = F.raise_error(F.concat(F.lit("unknown encoding: "), codepage)).cast("string")
     return (
         F.when(codepage == "cp1251", single_byte_text(raw, "cp1251"))
         .when(codepage == "cp866", single_byte_text(raw, "cp866"))
-        .otherwise(F.make_valid_utf8(raw.cast("string")))
+        .when(codepage == "utf-8", F.make_valid_utf8(raw.cast("string")))
+        .otherwise(unknown)
     )
 
 
@@ -202,8 +204,9 @@ def assemble(
 
     ``lines`` has ``file_id, part, block_start, file_path, value`` in file order
     within each split. A record row has ``file_id, file_path``, the facts,
-    ``event_seq`` (ordinal in its file, from 1), ``n_lines``, ``record`` and
-    ``oversized``.
+    ``event_seq`` (ordinal in its file, from 1), ``n_lines``, ``record``,
+    ``oversized`` and ``record_piece``. A record too long for one value has a
+    row for each of its pieces, numbered from 0; together they hold its text.
     """
     pieces_path = scratch_path(spark, "pieces")
     marked_lines(lines, header).mapInArrow(to_pieces, PIECE_SCHEMA).write.option(
@@ -244,6 +247,7 @@ def number_records(pieces: DataFrame, splits: DataFrame, facts: list[str]) -> Da
         "n_lines",
         text_of(F.col("raw"), F.col("encoding")).alias("record"),
         F.lit(False).alias("oversized"),
+        F.lit(0).alias("record_piece"),
     )
     # Ordinal 0: lines above the first header of a file, which have no record.
     border = numbered.where(at_border & (F.col("event_seq") > 0))
@@ -254,26 +258,30 @@ def number_records(pieces: DataFrame, splits: DataFrame, facts: list[str]) -> Da
         .where(F.col("total") > MAX_RECORD_BYTES)
         .select("file_id", "event_seq", F.lit(True).alias("oversized"))
     )
-    merged = (
+    marked = (
         border.join(too_long, ["file_id", "event_seq"], "left")
         .withColumn("oversized", F.coalesce("oversized", F.lit(False)))
-        .withColumn(
-            "record",
-            F.when(~F.col("oversized") | (F.col("piece") > 0), text_of(F.col("raw"), F.col("encoding"))),
-        )
+        .withColumn("record", text_of(F.col("raw"), F.col("encoding")))
+    )
+    in_file_order = Window.partitionBy("file_id", "event_seq").orderBy("part", "block_start", "piece")
+    apart = marked.where("oversized").select(
+        *key, "n_lines", "record", "oversized", (F.row_number().over(in_file_order) - 1).alias("record_piece")
+    )
+    merged = (
+        marked.where(~F.col("oversized"))
         .groupBy(*key)
         .agg(
             F.sum("n_lines").alias("n_lines"),
             F.array_sort(
                 F.collect_list(F.struct("part", "block_start", "piece", "record"))
             ).alias("found"),
-            F.max("oversized").alias("oversized"),
         )
         .select(
             *key,
             "n_lines",
             F.array_join(F.col("found.record"), "\n").alias("record"),
-            "oversized",
+            F.lit(False).alias("oversized"),
+            F.lit(0).alias("record_piece"),
         )
     )
-    return inner.unionByName(merged)
+    return inner.unionByName(merged).unionByName(apart)

@@ -16,6 +16,8 @@ SORTABLE = ("timestamp", "duration_ms", "event_name", "level")
 MAX_PAGE_SIZE = 1000
 # Rows a top-k may keep in one task. Pages beyond it are located by counting.
 SHALLOW_ROWS = 10_000
+# Widths, in ms, by which a deep page sorted by duration is narrowed down.
+DURATION_STEPS = (1_000_000, 1_000, 1)
 
 
 def event_order(sort_by: str | None = "timestamp", sort_order: str | None = "desc") -> list[Column]:
@@ -41,7 +43,12 @@ def take_slice(
     sort_order: str | None = "desc",
     shallow_rows: int = SHALLOW_ROWS,
 ) -> DataFrame:
-    """Rows ``offset .. offset+limit`` of the sorted events."""
+    """Rows ``offset .. offset+limit`` of the sorted events.
+
+    Up to ``shallow_rows`` this is a lazy top-k. A deeper slice is found by
+    jobs that run in this call, one per round of ``narrowed``; it has the same
+    rows. To go on from a known row, ``after_row`` needs no job.
+    """
     if offset + limit > shallow_rows:
         events, offset = narrowed(events, offset, limit, sort_by, sort_order, shallow_rows)
     return events.orderBy(*event_order(sort_by, sort_order)).offset(offset).limit(limit)
@@ -64,9 +71,7 @@ def narrowed(
     steps = {
         "timestamp": [],
         "duration_ms": [
-            (F.floor(F.col("duration_ms") / 1_000_000), descending),
-            (F.floor(F.col("duration_ms") / 1_000), descending),
-            (F.floor(F.col("duration_ms")), descending),
+            *((F.floor(F.col("duration_ms") / step), descending) for step in DURATION_STEPS),
             (F.col("duration_ms"), descending),
         ],
         "event_name": [(F.col("event_name"), descending)],
@@ -107,6 +112,11 @@ def narrowed(
             if bounds:
                 width = [timedelta(days=1), timedelta(hours=1), timedelta(seconds=1), timedelta(0)][depth - 1]
                 events = events.where((ts >= ntz(bounds[0])) & (ts <= ntz(bounds[1] + width)))
+        if first == "duration_ms" and depth <= len(DURATION_STEPS):
+            step = DURATION_STEPS[depth - 1]
+            ends = sorted([low[names[depth - 1]], high[names[depth - 1]]])
+            ms = F.col("duration_ms")
+            events = events.where((ms >= F.lit(float(ends[0] * step))) & (ms < F.lit(float((ends[1] + 1) * step))))
         offset -= low["upto"] - low["n"]
     return events, offset
 

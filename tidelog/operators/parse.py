@@ -19,7 +19,7 @@ from tidelog.schema import (
 )
 from tidelog.sources.files import Layout, base_hour
 
-REJECT_COLUMNS = ["file_path", "directory_name", "source_file", "line_number", "reason", "record"]
+REJECT_COLUMNS = ["file_path", "directory_name", "source_file", "line_number", "record_piece", "reason", "record"]
 
 
 def file_facts(layout: Layout) -> dict[str, Column]:
@@ -50,6 +50,7 @@ def header_fields(records: DataFrame) -> DataFrame:
         F.col("event_seq").alias("line_number"),
         "n_lines",
         "oversized",
+        "record_piece",
         "hour",
         text.try_cast("timestamp_ntz").alias("timestamp"),
         F.substring_index("clock", "-", -1).try_cast("bigint").alias("duration_us"),
@@ -106,9 +107,9 @@ def parse_records(
     """
     df = header_fields(records)
     if start is not None:
-        df = df.where(F.col("timestamp").isNull() | (F.col("timestamp") >= ntz(start)))
+        df = df.where(F.col("oversized") | F.col("timestamp").isNull() | (F.col("timestamp") >= ntz(start)))
     if end is not None:
-        df = df.where(F.col("timestamp").isNull() | (F.col("timestamp") <= ntz(end)))
+        df = df.where(F.col("oversized") | F.col("timestamp").isNull() | (F.col("timestamp") <= ntz(end)))
     df = properties(df)
     # The code is searched in the whole texts, before they are cut for storage.
     searched = ["sdbl", "context", "sql"] + (["exception"] if include_exception else [])

@@ -1,8 +1,9 @@
 """Exact quantiles of whole numbers, per group, for groups of any size.
 
 ``percentile`` keeps every distinct value of a group in one task. Here equal
-values are counted first, the counts are summed by bucket to find the buckets
-that hold the wanted ranks, and only those buckets are ranked value by value.
+values are counted first, the counts are summed by coarse bucket to find the
+buckets that hold the wanted ranks, and only those are looked into by finer
+buckets, down to single values. A task orders some 10 000 buckets of a group.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_WIDTH = 10_000
+# Widths of the buckets, from coarse to single values. Each level has at most
+# 10 000 buckets inside one of the level above.
+WIDTHS = (100_000_000, 10_000, 1)
 
 
 def exact_quantiles(
@@ -33,17 +36,6 @@ def exact_quantiles(
         df.where(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", F.floor(F.col("_v") / F.lit(BUCKET_WIDTH)))
-    )
-    buckets = counts.groupBy(*group, "_b").agg(F.sum("_c").alias("_bn"))
-    whole = Window.partitionBy(*group)
-    upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = buckets.select(
-        *group,
-        "_b",
-        (F.sum("_bn").over(upto) - F.col("_bn")).alias("_before"),
-        F.sum("_bn").over(upto).alias("_upto"),
-        F.sum("_bn").over(whole).alias("_n"),
     )
     # Rank r = q * (n - 1) as a whole part and a rest over the denominator.
     wanted = F.array(
@@ -57,25 +49,34 @@ def exact_quantiles(
             for name, f in quantiles.items()
         ]
     )
-    ranks = (
-        placed.select("*", F.explode(wanted).alias("_w"))
-        .select(*group, "_b", "_before", "_upto", "_n", "_w.*")
-        .select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_side"))
-        .withColumn("_rank", F.least(F.col("low") + F.col("_side"), F.col("_n") - 1))
-        .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_upto")))
-    )
-    # The values of the few hit buckets, once per rank that falls into them.
-    inside = (
-        Window.partitionBy(*group, "_b", "name", "_side")
-        .orderBy("_v")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    first = F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0))
-    found = (
-        counts.join(ranks, [*group, "_b"])
-        .withColumn("_first", first)
-        .where((F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_c")))
-    )
+    rank = F.least(F.col("low") + F.col("_side"), F.col("_n") - 1)
+    about_rank = ["name", "_side", "rest", "den", "_rank"]
+    found = None
+    for width in WIDTHS:
+        bucket = F.floor(F.col("_v") / F.lit(width)) if width > 1 else F.col("_v")
+        if found is None:
+            # The sum over all of a group's buckets gives the wanted ranks.
+            sums = counts.groupBy(*group, bucket.alias("_b")).agg(F.sum("_c").alias("_bn"))
+            whole = Window.partitionBy(*group)
+            upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            placed = sums.withColumns({"_upto": F.sum("_bn").over(upto), "_n": F.sum("_bn").over(whole)})
+            found = (
+                placed.withColumn("_w", F.explode(wanted))
+                .select(*group, "_b", "_bn", "_upto", "_n", "_w.*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_side"))
+                .withColumn("_rank", rank)
+            )
+        else:
+            # Only the hit buckets are looked into, once per rank that falls into them.
+            inside = counts.withColumn("_up", F.floor(F.col("_v") / F.lit(above)))
+            hit = inside.join(found.withColumnRenamed("_b", "_up"), [*group, "_up"])
+            sums = hit.groupBy(*group, *about_rank, bucket.alias("_b")).agg(F.sum("_c").alias("_bn"))
+            upto = Window.partitionBy(*group, *about_rank).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            found = sums.withColumn("_upto", F.sum("_bn").over(upto))
+        above = width
+        reached = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_bn"))
+        # From here on a rank counts from the start of its bucket.
+        found = found.where(reached).withColumn("_rank", F.col("_rank") - F.col("_upto") + F.col("_bn")).select(*group, "_b", *about_rank)
+    found = found.withColumnRenamed("_b", "_v")
     weight = F.when(F.col("_side") == 0, F.col("den") - F.col("rest")).otherwise(F.col("rest"))
     return found.groupBy(*group).agg(
         *[

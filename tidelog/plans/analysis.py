@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.codes import describe_error
@@ -200,15 +200,28 @@ def duration_totals(events: DataFrame) -> DataFrame:
 
 
 def slow_queries(events: DataFrame, n: int = TOP_ROWS) -> DataFrame:
-    """Statements by longest run: runs, longest, mean and total time."""
+    """Statements by longest run: runs, longest, mean and total time.
+
+    Statements are grouped by a digest, so their texts (up to 100 000
+    characters) are neither shuffled nor kept in hash tables; only those with a
+    longest run among the ``n`` longest are then fetched, ties included.
+    """
+    rows = events.where(is_filled("sql")).withColumn("digest", F.unhex(F.md5("sql")))
+    groups = rows.groupBy("digest").agg(
+        F.count(F.lit(1)).alias("cnt"),
+        F.max("duration_ms").alias("max_duration_ms"),
+        F.sum("duration_us").alias("sum_us"),
+    )
+    # At most n values.
+    longest = groups.orderBy(F.col("max_duration_ms").desc()).limit(n).select("max_duration_ms").distinct()
+    listed = groups.join(F.broadcast(longest), "max_duration_ms", "left_semi")
+    texts = (
+        rows.join(F.broadcast(longest), F.col("duration_ms") == longest["max_duration_ms"], "left_semi")
+        .select("digest", "sql")
+        .dropDuplicates(["digest"])
+    )
     return (
-        events.where(is_filled("sql"))
-        .groupBy("sql")
-        .agg(
-            F.count(F.lit(1)).alias("cnt"),
-            F.max("duration_ms").alias("max_duration_ms"),
-            F.sum("duration_us").alias("sum_us"),
-        )
+        listed.join(texts, "digest")
         .select(
             "sql",
             "cnt",
@@ -222,18 +235,32 @@ def slow_queries(events: DataFrame, n: int = TOP_ROWS) -> DataFrame:
 
 
 def top_errors(events: DataFrame, n: int = TOP_ROWS) -> DataFrame:
-    """Error codes by count, each with the text of its earliest event."""
-    sample = F.min_by(F.struct("exception", "context"), F.struct(*EVENT_KEY))
+    """Error codes by count, each with the text of its earliest event.
+
+    Codes are counted first; the earliest event of each listed code is a top-1
+    over its key, and only the texts of those rows are read.
+    """
+    errors = events.where(has_db_error()).withColumn("code", F.col("mssql_error_code"))
+    counts = errors.groupBy("code").agg(F.count(F.lit(1)).alias("cnt")).orderBy(F.col("cnt").desc(), "code").limit(n)
+    # At most n rows, here and below.
+    listed = F.broadcast(counts)
+    first = Window.partitionBy("code").orderBy(*EVENT_KEY)
+    earliest = (
+        errors.select("code", *EVENT_KEY)
+        .join(listed, "code")
+        .withColumn("place", F.row_number().over(first))
+        .where(F.col("place") == 1)
+        .drop("place")
+    )
+    texts = errors.select("code", *EVENT_KEY, "exception", "context").join(F.broadcast(earliest), ["code", *EVENT_KEY])
     return (
-        events.where(has_db_error())
-        .groupBy(F.col("mssql_error_code").alias("code"))
-        .agg(F.count(F.lit(1)).alias("cnt"), sample.alias("sample"))
+        texts.dropDuplicates(["code"])
         .select(
             "code",
             describe_error(F.col("code"), "Unknown error").alias("error_type"),
             "cnt",
-            F.col("sample.exception").alias("sample"),
-            F.col("sample.context").alias("sample_context"),
+            F.col("exception").alias("sample"),
+            F.col("context").alias("sample_context"),
         )
         .orderBy(F.col("cnt").desc(), "code")
         .limit(n)

@@ -12,7 +12,8 @@ from tidelog.functions.numbers import round_ratio
 from tidelog.operators.assemble import Assembled, assemble
 from tidelog.operators.parse import events_of, file_facts, parse_records, rejects_of
 from tidelog.session import drop_path, path_exists, scratch_path
-from tidelog.sources.files import Layout, hour_glob, list_files, read_lines
+from tidelog.operators.filters import check_interval
+from tidelog.sources.files import Layout, hour_stems, list_files, read_lines
 from tidelog.sources.store import EventStore
 
 STATS_SCHEMA = (
@@ -64,15 +65,15 @@ def parse_lines(
     return Load(parsed, events, rejects_of(parsed), assembled, (*assembled.staged, path))
 
 
-def file_glob(start=None, end=None) -> str:
-    """Names of the hour files of an interval, or all when it is open."""
-    return hour_glob(start, end) if start is not None and end is not None else "*.log*"
+def file_stems(start=None, end=None) -> list[str] | None:
+    """Name starts of the hour files of an interval, or None (all) when it is open."""
+    return hour_stems(start, end) if start is not None and end is not None else None
 
 
 def parse_files(
     spark: SparkSession, layout: Layout, session_id: str, loaded_at, start=None, end=None, **options
 ) -> Load:
-    lines = read_lines(spark, layout, file_glob(start, end))
+    lines = read_lines(spark, layout, file_stems(start, end))
     return parse_lines(spark, lines, layout, session_id, loaded_at, start, end, **options)
 
 
@@ -85,7 +86,7 @@ def load_stats(files: DataFrame, splits: DataFrame, parsed: DataFrame) -> DataFr
     read = splits.groupBy("file_id").agg(F.sum("n_lines").alias("lines"))
     made = parsed.groupBy("file_id").agg(
         F.count_if(F.col("reason").isNull()).alias("events"),
-        F.count_if(F.col("reason").isNotNull()).alias("errors"),
+        F.count_if(F.col("reason").isNotNull() & (F.col("record_piece") == 0)).alias("errors"),
     )
     zero = F.lit(0).cast("bigint")
     counted = (
@@ -134,14 +135,17 @@ def ingest(
 ) -> DataFrame:
     """Parse files into the event table under a session; returns the load stats.
 
+    The interval is checked first. A root that does not exist (an unmounted
+    share, a mistyped name) has no rows and leaves a stored session as it is.
     The staged folders are removed once the events and the stats are stored.
     """
+    if start is not None and end is not None:
+        check_interval(start, end)
     if not path_exists(spark, layout.root):
-        store.delete_session(session_id)
         return spark.createDataFrame([], STATS_SCHEMA)
     load = parse_files(spark, layout, session_id, loaded_at, start, end, **options)
     store.replace_session(session_id, load.events)
-    files = list_files(spark, layout, file_glob(start, end))
+    files = list_files(spark, layout, file_stems(start, end))
     path = scratch_path(spark, "load-stats")
     load_stats(files, load.assembled.splits, load.parsed).write.parquet(path)
     for folder in load.staged:

@@ -22,17 +22,26 @@ def local_path(uri: Column) -> Column:
 class Layout:
     """How directory, file and part order are read from a path.
 
-    Files lie at ``<root>/<directory>/.../<YYMMDDHH>.log``. An hour too large
-    for one writer may go on in ``<YYMMDDHH>.log.<n>`` files, in order of n.
+    Files lie at ``<root>/<directory>/.../<YYMMDDHH>.log``; other names are not
+    read. With ``parts`` an hour too large for one writer may go on in
+    ``<YYMMDDHH>.log.<n>`` files, in order of n.
     """
 
     root: str
+    parts: bool = False
+
+    def glob(self, stems: list[str] | None = None) -> str:
+        """File-name glob of the given name starts (default: all)."""
+        ends = [".log", ".log.[0-9]*"] if self.parts else [".log"]
+        return "{" + ",".join(stem + end for stem in (stems or ["*"]) for end in ends) + "}"
 
     def file_key(self, path: Column) -> Column:
         """The path of the hour file a line belongs to."""
-        return F.regexp_replace(path, r"\.log\.\d+$", ".log")
+        return F.regexp_replace(path, r"\.log\.\d+$", ".log") if self.parts else path
 
     def part(self, path: Column) -> Column:
+        if not self.parts:
+            return F.lit(0).cast("bigint")
         return F.coalesce(F.regexp_extract(path, r"\.log\.(\d+)$", 1).try_cast("bigint"), F.lit(0))
 
     def source_file(self, file_key: Column) -> Column:
@@ -63,8 +72,8 @@ def base_hour(source_file: Column) -> Column:
     return F.when(ok, text)
 
 
-def hour_glob(start: datetime, end: datetime) -> str:
-    """File-name glob of all hours in ``[start, end]``, at most one term per day.
+def hour_stems(start: datetime, end: datetime) -> list[str]:
+    """Name starts of the files of all hours in ``[start, end]``, at most one term per day.
 
     Days that are only partly inside are still matched by their hours.
     """
@@ -76,17 +85,17 @@ def hour_glob(start: datetime, end: datetime) -> str:
     terms = []
     for day, hours in by_day.items():
         terms += [f"{day}*"] if len(hours) == 24 else [f"{day}{h}*" for h in hours]
-    return "{" + ",".join(f"{t}.log*" for t in terms) + "}"
+    return terms
 
 
-def date_glob(start: datetime, end: datetime) -> str:
-    """File-name glob of all hour files whose date is in ``[start, end]``."""
+def date_stems(start: datetime, end: datetime) -> list[str]:
+    """Name starts of all hour files whose date is in ``[start, end]``."""
     first = start.replace(hour=0, minute=0, second=0, microsecond=0)
     last = end.replace(hour=23, minute=0, second=0, microsecond=0)
-    return hour_glob(first, last)
+    return hour_stems(first, last)
 
 
-def list_files(spark: SparkSession, layout: Layout, glob: str = "*.log*") -> DataFrame:
+def list_files(spark: SparkSession, layout: Layout, stems: list[str] | None = None) -> DataFrame:
     """One row per hour file: its facts and size, without reading content.
 
     A scan skips files of zero bytes, so the names come from the file index
@@ -95,7 +104,7 @@ def list_files(spark: SparkSession, layout: Layout, glob: str = "*.log*") -> Dat
     listing = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
+        .option("pathGlobFilter", layout.glob(stems))
         .load(layout.root)
     )
     names = spark.createDataFrame([(uri,) for uri in listing.inputFiles()], "uri string")
@@ -138,14 +147,14 @@ def line_columns() -> list[Column]:
     ]
 
 
-def read_lines(spark: SparkSession, layout: Layout, glob: str = "*.log*") -> DataFrame:
+def read_lines(spark: SparkSession, layout: Layout, stems: list[str] | None = None) -> DataFrame:
     """All lines of the matching files. Files deleted meanwhile are skipped.
 
     Only a line feed ends a line, so a lone carriage return stays in the text.
     """
     text = (
         spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
+        .option("pathGlobFilter", layout.glob(stems))
         .option("ignoreMissingFiles", "true")
         .option("lineSep", "\n")
         .text(layout.root)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,18 +60,19 @@ def alternative_text(fields: dict[str, Column]) -> Column:
     return F.concat_ws("\n", stamp, *lines)
 
 
-def write_files(events: DataFrame, text: Column, root: str) -> DataFrame:
+def write_files(events: DataFrame, text: Column, root: str, whole_hours: bool = False) -> DataFrame:
     """Write hour files ``<root>/<directory_name>/<source_file>``; returns them.
 
     Range partitioning by file and ordinal spreads a large hour over several
     tasks. The task that holds the first record of an hour writes the file
     itself, a later one writes ``<source_file>.<first ordinal>``, so names give
-    the order and a repeated task replaces its own files.
+    the order and a repeated task replaces its own files. ``whole_hours`` keeps
+    each hour in one task and file instead.
     """
     rows = (
         events.withColumn("text", text.cast("binary"))
         .select(*FILE_KEY, "text")
-        .repartitionByRange(*FILE_KEY)
+        .repartitionByRange(*(FILE_KEY[:2] if whole_hours else FILE_KEY))
         .sortWithinPartitions(*FILE_KEY)
     )
     return rows.mapInArrow(_file_writer(root), "path string, n_records bigint")
@@ -88,19 +91,24 @@ def _file_writer(root: str):
                 done.append((path, count))
 
         for batch in batches:
-            folders = batch.column("directory_name").to_pylist()
-            names = batch.column("source_file").to_pylist()
-            for row, (folder, name) in enumerate(zip(folders, names)):
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(c).dictionary_encode().indices.to_numpy() for c in FILE_KEY[:2]]
+            fresh = np.concatenate(([True], np.any([np.diff(k) != 0 for k in keys], axis=0)))
+            starts = np.append(np.flatnonzero(fresh), batch.num_rows)
+            runs = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), batch.column("text"))
+            texts = pc.binary_join(runs, pa.scalar(b"\n", pa.binary()))
+            for i, (start, stop) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
+                folder, name, first = (batch.column(c)[start].as_py() for c in FILE_KEY)
                 if (folder, name) != current:
                     finish()
                     current, count = (folder, name), 0
-                    first = batch.column("line_number")[row].as_py()
                     full = name if first == 1 else f"{name}.{first}"
                     path, hidden = f"{base}/{folder}/{full}", f"{base}/{folder}/_{uuid.uuid4().hex}"
                     fs.create_dir(f"{base}/{folder}", recursive=True)
                     sink = fs.open_output_stream(hidden)
-                sink.write(batch.column("text")[row].as_py() + b"\n")
-                count += 1
+                sink.write(texts[i].as_py() + b"\n")
+                count += stop - start
         finish()
         yield pa.RecordBatch.from_pydict(
             {

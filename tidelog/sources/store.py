@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date, timedelta
 from urllib.parse import unquote
 
@@ -46,8 +47,17 @@ class EventStore:
         """All events, or one session's (an unknown one has no rows)."""
         if not path_exists(self.spark, self.path):
             return self.spark.createDataFrame([], EVENT_SCHEMA)
-        rows = self.spark.read.schema(EVENT_SCHEMA).parquet(self.path)
-        return rows if session_id is None else rows.where(F.col("session_id") == session_id)
+        reader = self.spark.read.schema(EVENT_SCHEMA).option("basePath", self.path)
+        if session_id is None:
+            return reader.parquet(self.path)
+        folders = self._session_folders(session_id)
+        if not folders:
+            return self.spark.createDataFrame([], EVENT_SCHEMA)
+        return reader.parquet(*folders).where(F.col("session_id") == session_id)
+
+    def _session_folders(self, session_id: str) -> list[str]:
+        folders = matching_paths(self.spark, f"{self.path}/session_id=*")
+        return [folder for folder in folders if _partition_value(folder) == session_id]
 
     def write(self, events: DataFrame, narrow: bool = False) -> None:
         """Write events, replacing every (session, date) partition they touch."""
@@ -56,18 +66,25 @@ class EventStore:
         writer.partitionBy(*PARTITION_COLUMNS).parquet(self.path)
 
     def replace_session(self, session_id: str, events: DataFrame, narrow: bool = True) -> None:
-        """Write a session, replacing all it had. Repeating it changes nothing."""
-        self.delete_session(session_id)
+        """Write a session, replacing all it had. Repeating it changes nothing.
+
+        Nothing is dropped before the new rows are written: Spark stages them
+        and exchanges the partitions when the job has ended well, so a failed
+        write keeps the old rows, and ``events`` may be read from this store.
+        Then the dates that the new rows do not have are dropped.
+        """
+        dates = {row[0].isoformat() for row in events.select("event_date").distinct().collect()}
         self.write(events.withColumn("session_id", F.lit(session_id)), narrow)
+        for folder in self._session_folders(session_id):
+            old = [date for date in matching_paths(self.spark, f"{glob_literal(folder)}/event_date=*") if _partition_value(date) not in dates]
+            for date_folder in old:
+                drop_path(self.spark, date_folder)
+            if not dates:
+                drop_path(self.spark, folder)
 
     def delete_session(self, session_id: str) -> bool:
         """Drop the partitions of a session; other sessions are not touched."""
-        folders = [
-            folder
-            for folder in matching_paths(self.spark, f"{self.path}/session_id=*")
-            if _partition_value(folder) == session_id
-        ]
-        return any([drop_path(self.spark, folder) for folder in folders])
+        return any([drop_path(self.spark, folder) for folder in self._session_folders(session_id)])
 
     def expire(self, as_of: date, days: int = RETENTION_DAYS) -> list[str]:
         """Drop the dates older than ``as_of - days``; returns what was dropped."""
@@ -83,6 +100,11 @@ class EventStore:
         return footprint(self.spark, self.path)
 
 
+def glob_literal(path: str) -> str:
+    """A path whose glob characters stand for themselves."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def _partition_value(folder: str) -> str:
     return unquote(folder.rsplit("/", 1)[1].split("=", 1)[1])
 

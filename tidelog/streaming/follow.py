@@ -17,7 +17,7 @@ from tidelog.sources.store import EventStore
 def stream_lines(spark: SparkSession, layout: Layout, max_files: int | None = None) -> DataFrame:
     reader = (
         spark.readStream.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.log*")
+        .option("pathGlobFilter", layout.glob())
         .option("lineSep", "\n")
     )
     if max_files:
@@ -39,11 +39,15 @@ def follow(
     """Load the files that are new since the last run, then stop.
 
     A file belongs to one micro-batch, so records are assembled inside the
-    batch as in a one-off load. Batch ``n`` is written as session
+    batch as in a one-off load. An hour in several parts could fall into two
+    batches, so a layout with parts is refused. Batch ``n`` is written as session
     ``<name>_<n>`` and replaces that session, so a repeated batch changes
     nothing. Feed closed hours only: a file is not read again when it grows.
     """
 
+    if layout.parts:
+        raise ValueError("only whole hour files can be followed")
+
     def load(batch: DataFrame, batch_id: int) -> None:
         session_id = f"{name}_{batch_id}"
         result = parse_lines(
@@ -70,7 +74,7 @@ def batch_stats(load, session_id: str, batch_id: int) -> DataFrame:
     """Per file of a batch: lines, events, rejects."""
     made = load.parsed.groupBy("file_id").agg(
         F.count_if(F.col("reason").isNull()).alias("events"),
-        F.count_if(F.col("reason").isNotNull()).alias("errors"),
+        F.count_if(F.col("reason").isNotNull() & (F.col("record_piece") == 0)).alias("errors"),
     )
     read = load.assembled.splits.groupBy("file_id").agg(
         F.max("file_path").alias("file_path"), F.sum("n_lines").alias("lines")
