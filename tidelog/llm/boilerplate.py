@@ -70,11 +70,11 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES, site: str = "source
 
 
 LINES_SQL = r"""
-WITH lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents),
+WITH lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 trimmed AS (SELECT *, trim(raw, e' \t\x0b\f\r') AS line FROM lines),
 spread AS (SELECT line, min(doc_id) AS first FROM trimmed WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
 marked AS (SELECT t.*, s.line IS NOT NULL AND t.doc_id <> s.first AS gone FROM trimmed t LEFT JOIN spread s USING (line))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
-  sha256(coalesce(string_agg(raw, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS text_sha256
+  sha256(coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS text_sha256
 FROM marked GROUP BY doc_id
 """
