@@ -86,8 +86,9 @@ class Model:
             owners, values = owners[starts], self.table[buckets[starts]]
             firsts = np.flatnonzero(np.concatenate(([True], np.diff(owners) != 0)))
             found = np.add.reduceat(values, firsts, axis=0)
-            found[~self.spoken[[_script(w) for w in own]]] = FOREIGN * len(ORDERS)
-            scores[rows] = found - found.max(axis=1, keepdims=True)
+            spoken = self.spoken[[_script(w) for w in own]]
+            best = np.where(spoken, found, -np.inf).max(axis=1, keepdims=True)
+            scores[rows] = np.where(spoken, found - best, FOREIGN)
         return scores, size
 
     def spans(self, scores: np.ndarray, offsets: np.ndarray) -> np.ndarray:

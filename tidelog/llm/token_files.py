@@ -54,7 +54,7 @@ def from_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
     if kind == "byte":
         return np.ascontiguousarray(rows.T).view("<u4").reshape(-1)
     bits = np.unpackbits(rows, axis=1, count=n, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u4").reshape(-1)
+    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").reshape(-1).view("<u4")
 
 
 class Writer:
