@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.plans.ingest import ingest, load_stats, session_totals
+from tidelog.plans.load import load_session
 from tidelog.plans.sessions import loaded_session, session_list
 from tidelog.schema import SESSION_SCHEMA
 from tidelog.sources.files import Layout, date_stems, hour_stems, list_files, read_lines
+from tidelog.sources.session_store import SessionStore
 from tidelog.sources.store import EventStore
 
 from .conftest import LOADED_AT
@@ -204,3 +206,26 @@ def test_unknown_encodings_are_refused(spark, logs, load):
     logs("a/26031005.log", LINE.format("x"))
     with pytest.raises(Exception, match="unknown encoding"):
         load(logs, encoding="koi8-r").events.collect()
+
+
+def test_a_load_is_recorded(spark, logs, tmp_path):
+    logs("a/26031005.log", LINE.format("x") + "00:61.0-1,CALL,1,\n")
+    events, sessions = EventStore(spark, str(tmp_path / "store")), SessionStore(spark, str(tmp_path / "sessions"))
+    assert sessions.sessions().count() == 0 and sessions.files().count() == 0
+    hours = datetime(2026, 3, 10, 5), datetime(2026, 3, 10, 6)
+    load_session(spark, events, sessions, Layout(logs.root), "s1", LOADED_AT, *hours, comment="first")
+    row = sessions.sessions().first()
+    assert (row.status, row.total_files, row.total_events, row.progress_percent, row.comment) == ("completed", 1, 1, 100.0, "first")
+    assert [(r.session_id, r.lines, r.events, r.errors) for r in sessions.files().collect()] == [("s1", 2, 1, 1)]
+    with pytest.raises(Exception, match="unknown encoding"):
+        load_session(spark, events, sessions, Layout(logs.root), "s2", LOADED_AT, *hours, encoding="koi8-r")
+    with pytest.raises(ValueError):
+        load_session(spark, events, sessions, Layout(logs.root), "s3", LOADED_AT, *reversed(hours))
+    assert {(r.session_id, r.status, r.error_message is None) for r in sessions.sessions().collect()} == {
+        ("s1", "completed", True), ("s2", "failed", False)
+    }
+    assert events.events("s1").count() == 1
+    assert sessions.delete("s1", events) and not sessions.delete("s1", events)
+    assert sessions.files().count() == 0 and events.events().count() == 0 and sessions.sessions().count() == 1
+    with pytest.raises(KeyError):
+        sessions.fail("s1", "gone", LOADED_AT)

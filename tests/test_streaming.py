@@ -1,6 +1,9 @@
 """Following a folder of closed hours."""
 
+import pytest
+
 from tidelog.sources.files import Layout
+from tidelog.sources.session_store import SessionStore
 from tidelog.sources.store import EventStore
 from tidelog.streaming.follow import follow
 
@@ -9,11 +12,12 @@ from .conftest import LOADED_AT
 
 def test_each_run_loads_only_new_files(spark, logs, tmp_path):
     store = EventStore(spark, str(tmp_path / "store"))
-    stats = str(tmp_path / "stats")
+    stats, sessions = str(tmp_path / "stats"), SessionStore(spark, str(tmp_path / "sessions"))
 
     def run():
         query = follow(
-            spark, Layout(logs.root), store, "live", str(tmp_path / "state"), LOADED_AT, stats_path=stats, max_files=1
+            spark, Layout(logs.root), store, "live", str(tmp_path / "state"), LOADED_AT, stats_path=stats, max_files=1,
+            sessions=sessions,
         )
         query.awaitTermination()
         assert query.exception() is None
@@ -32,3 +36,11 @@ def test_each_run_loads_only_new_files(spark, logs, tmp_path):
     assert sorted((r.lines, r.events, r.errors) for r in rows) == [(120, 60, 0), (120, 60, 0), (121, 60, 1)]
     assert [r.batch_id for r in rows] == [0, 1, 2]
     assert {r.context for r in store.events("live_2").collect()} == {f"a\nb{i}" for i in range(60)}
+    kept = sessions.sessions().orderBy("session_id").collect()
+    assert [(r.session_id, r.status, r.total_files, r.total_events) for r in kept] == [(f"live_{i}", "completed", 1, 60) for i in range(3)]
+    assert sessions.files().count() == 3
+
+
+def test_parts_are_not_followed(spark, logs, tmp_path):
+    with pytest.raises(ValueError, match="whole hour files"):
+        follow(spark, Layout(logs.root, parts=True), EventStore(spark, str(tmp_path / "store")), "live", str(tmp_path / "state"), LOADED_AT)

@@ -361,6 +361,17 @@ SELECT request_id, start_date, end_date, overlap_id, overlap_start FROM hits WHE
   FROM journal GROUP BY 1, 2, 3)
 SELECT s.session_id, s.status, s.total_files, f.directory_name, f.source_file, events, last_line_number, first_ts,
   last_ts FROM sessions_v s LEFT JOIN f USING (session_id)""",
+    "stored_session_list": session_list("created_at", "true", 10, 5),
+    "stored_session_progress": f"""{SESSIONS} SELECT session_id, status, {PERCENT} AS progress_percent, total_files,
+  processed_files, total_events, error_message, started_at, completed_at,
+  date_diff('microsecond', started_at, completed_at) / 1e6 AS elapsed_seconds, CAST(NULL AS DOUBLE) AS eta_seconds,
+  started_at + INTERVAL 3 HOUR AS started_at_msk FROM sessions_v""",
+    "stored_session_files": f"""{SESSIONS}, f AS (SELECT session_id, directory_name, source_file, count(*) AS events
+  FROM journal GROUP BY 1, 2, 3)
+SELECT s.session_id, s.status, s.total_files, f.directory_name, f.source_file, events FROM sessions_v s LEFT JOIN f USING (session_id)""",
+    "stored_cascade": f"""{JOURNAL} SELECT session_id, count(DISTINCT (directory_name, source_file)) AS total_files,
+  count(DISTINCT (directory_name, source_file)) AS files, count(*) AS events
+FROM journal WHERE event_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-08' GROUP BY 1""",
     "delete_sessions": f"""{SESSIONS} SELECT session_id, count(*) AS cnt FROM journal WHERE session_id NOT IN
   (SELECT session_id FROM sessions_v WHERE start_date < TIMESTAMP '2024-01-08') GROUP BY 1""",
     "retention_90d": f"{JOURNAL} SELECT event_date, count(*) AS cnt FROM journal "

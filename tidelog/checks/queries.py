@@ -18,6 +18,7 @@ from tidelog.sources.export import export_rows, write_csv
 from tidelog.sources.files import Layout, list_files, read_lines
 from tidelog.sources.journal_view import LOADED_AT, stored_journal, stored_journal_path
 from tidelog.sources.render import alternative_text, clock_text, record_text, write_files
+from tidelog.sources.session_store import SessionStore
 from tidelog.sources.store import EventStore, footprint, retained
 from tidelog.streaming.follow import follow
 
@@ -107,6 +108,41 @@ def session_files(spark, sf_dir):
     return sessions.session_files(rows, counts)
 
 
+_stored_sessions: dict[tuple[str, str], str] = {}
+
+
+def session_store(spark: SparkSession, sf_dir: str) -> SessionStore:
+    """The sessions of the journal and their files, stored once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored_sessions:
+        store = SessionStore(spark, scratch_path(spark, "sessions"))
+        store.put(session_rows(spark, sf_dir))
+        store.put_files(sessions.file_counts(journal(spark, sf_dir)))
+        _stored_sessions[key] = store.path
+    return SessionStore(spark, _stored_sessions[key])
+
+
+def stored_session_files(spark, sf_dir):
+    store = session_store(spark, sf_dir)
+    files = store.files().select("session_id", "directory_name", "source_file", "events")
+    return sessions.session_files(store.sessions(), files)
+
+
+def stored_cascade(spark, sf_dir):
+    """Files and events of the sessions that stay when four are deleted."""
+    rows = journal(spark, sf_dir).where(F.col("event_date") < F.lit(date(2024, 1, 9)))
+    events, store = EventStore(spark, scratch_path(spark, "cascade-events")), SessionStore(spark, scratch_path(spark, "cascade"))
+    events.write(rows)
+    store.put(sessions.sessions_from_events(rows))
+    store.put_files(sessions.file_counts(rows))
+    for day in range(1, 5):
+        store.delete(f"s_2024010{day}", events)
+    cnt = F.count(F.lit(1))
+    left = events.events().groupBy("session_id").agg(cnt.alias("events"))
+    files = store.files().groupBy("session_id").agg(cnt.alias("files"))
+    return store.sessions().select("session_id", "total_files").join(files, "session_id", "full").join(left, "session_id", "full")
+
+
 def delete_sessions(spark, sf_dir):
     """Events that stay when the sessions of the first week are deleted."""
     rows = session_rows(spark, sf_dir)
@@ -350,6 +386,10 @@ QUERIES = {
     "session_progress": lambda s, d: sessions.session_progress(running_sessions(s, d), AS_OF),
     "session_overlap": session_overlap,
     "session_files": session_files,
+    "stored_session_list": lambda s, d: sessions.session_list(session_store(s, d).sessions(), AS_OF, limit=10, offset=5),
+    "stored_session_progress": lambda s, d: sessions.session_progress(session_store(s, d).sessions(), AS_OF),
+    "stored_session_files": stored_session_files,
+    "stored_cascade": stored_cascade,
     "delete_sessions": delete_sessions,
     "footprint": stored_sizes,
     # storage and export

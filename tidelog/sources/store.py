@@ -57,7 +57,7 @@ class EventStore:
 
     def _session_folders(self, session_id: str) -> list[str]:
         folders = matching_paths(self.spark, f"{self.path}/session_id=*")
-        return [folder for folder in folders if _partition_value(folder) == session_id]
+        return [folder for folder in folders if partition_value(folder) == session_id]
 
     def write(self, events: DataFrame, narrow: bool = False) -> None:
         """Write events, replacing every (session, date) partition they touch."""
@@ -76,7 +76,7 @@ class EventStore:
         dates = {row[0].isoformat() for row in events.select("event_date").distinct().collect()}
         self.write(events.withColumn("session_id", F.lit(session_id)), narrow)
         for folder in self._session_folders(session_id):
-            old = [date for date in matching_paths(self.spark, f"{glob_literal(folder)}/event_date=*") if _partition_value(date) not in dates]
+            old = [date for date in matching_paths(self.spark, f"{glob_literal(folder)}/event_date=*") if partition_value(date) not in dates]
             for date_folder in old:
                 drop_path(self.spark, date_folder)
             if not dates:
@@ -91,9 +91,9 @@ class EventStore:
         oldest = (as_of - timedelta(days=days)).isoformat()
         dropped = set()
         for folder in matching_paths(self.spark, f"{self.path}/session_id=*/event_date=*"):
-            if _partition_value(folder) < oldest:
+            if partition_value(folder) < oldest:
                 drop_path(self.spark, folder)
-                dropped.add(_partition_value(folder))
+                dropped.add(partition_value(folder))
         return sorted(dropped)
 
     def footprint(self) -> DataFrame:
@@ -105,7 +105,7 @@ def glob_literal(path: str) -> str:
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
-def _partition_value(folder: str) -> str:
+def partition_value(folder: str) -> str:
     return unquote(folder.rsplit("/", 1)[1].split("=", 1)[1])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidelog.plans.ingest import parse_lines
 from tidelog.session import drop_path
 from tidelog.sources.files import Layout, as_lines, line_columns
+from tidelog.sources.session_store import SessionStore
 from tidelog.sources.store import EventStore
 
 
@@ -34,6 +35,7 @@ def follow(
     loaded_at: datetime | str,
     stats_path: str | None = None,
     max_files: int | None = None,
+    sessions: SessionStore | None = None,
     **options,
 ) -> StreamingQuery:
     """Load the files that are new since the last run, then stop.
@@ -42,7 +44,8 @@ def follow(
     batch as in a one-off load. An hour in several parts could fall into two
     batches, so a layout with parts is refused. Batch ``n`` is written as session
     ``<name>_<n>`` and replaces that session, so a repeated batch changes
-    nothing. Feed closed hours only: a file is not read again when it grows.
+    nothing. With ``sessions`` each batch also has a session row and file rows
+    there. Feed closed hours only: a file is not read again when it grows.
     """
 
     if layout.parts:
@@ -53,11 +56,15 @@ def follow(
         result = parse_lines(
             batch.sparkSession, as_lines(batch, layout), layout, session_id, loaded_at, **options
         )
+        if sessions:
+            begin_session(sessions, session_id, result)
         store.replace_session(session_id, result.events)
         if stats_path:
             batch_stats(result, session_id, batch_id).write.mode("overwrite").parquet(
                 f"{stats_path}/batch_id={batch_id}"
             )
+        if sessions:
+            sessions.complete(session_id, file_rows(batch_stats(result, session_id, batch_id), layout), datetime.now())
         for folder in result.staged:
             drop_path(batch.sparkSession, folder)
 
@@ -70,6 +77,20 @@ def follow(
     )
 
 
+def begin_session(sessions: SessionStore, session_id: str, load) -> None:
+    """The row of a batch that is being stored; its interval is that of its events."""
+    first, last = load.events.agg(F.min("timestamp"), F.max("timestamp")).first()
+    now = datetime.now()
+    sessions.start(session_id, first or now, (last or now) + timedelta(microseconds=1), now)
+
+
+def file_rows(stats: DataFrame, layout: Layout) -> DataFrame:
+    path, status = F.col("file_path"), F.when(F.col("events") > 0, "completed").otherwise("empty")
+    return stats.withColumns(
+        {"directory_name": layout.directory_name(path), "source_file": layout.source_file(path), "status": status}
+    )
+
+
 def batch_stats(load, session_id: str, batch_id: int) -> DataFrame:
     """Per file of a batch: lines, events, rejects."""
     made = load.parsed.groupBy("file_id").agg(
