@@ -8,30 +8,48 @@ import pytest
 
 import __spark_entry__ as contract
 from check import normal
-from tidelog.checks.queries import PAGE_FILTER, RATIO_FILTER, journal, session_rows
+from tidelog.checks.oracle import ORACLE
+from tidelog.checks.queries import PAGE_FILTER, QUERIES, RATIO_FILTER, journal, session_rows
+from tidelog.operators.paging import take_slice
 from tidelog.plans import analysis, report, search
 from tidelog.plans.sessions import filtered_sessions
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
 def oracle():
-    con = duckdb.connect()
-    for path in Path(SF).glob("*.parquet"):
-        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
-    return con
+    def run(folder, name):
+        con = duckdb.connect()
+        for path in Path(folder).glob("*.parquet"):
+            con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+        return con.execute(ORACLE[name]).df()
 
+    return run
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, oracle, name):
-    got = contract.queries()[name](spark, SF).toPandas()
-    if name not in contract.oracle_sql():
-        assert len(got)
-        return
-    want = oracle.execute(contract.oracle_sql()[name]).df()
+    # The deep pages start beyond the rows of the smallest tables.
+    folder = LARGER if name.startswith("deep_page") else SF
+    got, want = QUERIES[name](spark, folder).toPandas(), oracle(folder, name)
     assert sorted(got.columns) == sorted(want.columns)
-    assert normal(got) == normal(want)
+    assert len(want) and normal(got) == normal(want)
+
+
+def test_every_query_is_registered(spark):
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
+
+
+def test_plans_of_the_top_lists(spark):
+    j = journal(spark, SF)
+    errors = physical(analysis.top_errors(j))
+    assert "SortAggregate" not in errors and "WindowGroupLimit" in errors
+    exchanges = [line for line in physical(analysis.slow_queries(j)).splitlines() if "Exchange hashpartitioning(" in line]
+    assert exchanges and not any("hashpartitioning(sql" in line for line in exchanges)
+    deep = physical(take_slice(journal(spark, LARGER), 6000, 40, "duration_ms", "asc", shallow_rows=100))
+    assert "GreaterThanOrEqual(duration_ms" in deep and "LessThan(duration_ms" in deep
 
 
 def test_entry(spark):

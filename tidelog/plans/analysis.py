@@ -254,8 +254,7 @@ def top_errors(events: DataFrame, n: int = TOP_ROWS) -> DataFrame:
     )
     texts = errors.select("code", *EVENT_KEY, "exception", "context").join(F.broadcast(earliest), ["code", *EVENT_KEY])
     return (
-        texts.dropDuplicates(["code"])
-        .select(
+        texts.select(
             "code",
             describe_error(F.col("code"), "Unknown error").alias("error_type"),
             "cnt",
