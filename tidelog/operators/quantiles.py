@@ -23,19 +23,21 @@ def exact_quantiles(
     value: str,
     quantiles: dict[str, Fraction],
     group: list[str] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per group with each quantile, linearly interpolated, as a double.
 
     ``value`` is a BIGINT column; ``quantiles`` maps output names to fractions.
+    With ``weight`` the rows are counts already: a value, and how often it is there.
     """
     if not group:
         one = df.withColumn("_all", F.lit(1))
-        return exact_quantiles(one, value, quantiles, ["_all"]).drop("_all")
+        return exact_quantiles(one, value, quantiles, ["_all"], weight).drop("_all")
 
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
     )
     # Rank r = q * (n - 1) as a whole part and a rest over the denominator.
     wanted = F.array(
@@ -77,11 +79,11 @@ def exact_quantiles(
         # From here on a rank counts from the start of its bucket.
         found = found.where(reached).withColumn("_rank", F.col("_rank") - F.col("_upto") + F.col("_bn")).select(*group, "_b", *about_rank)
     found = found.withColumnRenamed("_b", "_v")
-    weight = F.when(F.col("_side") == 0, F.col("den") - F.col("rest")).otherwise(F.col("rest"))
+    share = F.when(F.col("_side") == 0, F.col("den") - F.col("rest")).otherwise(F.col("rest"))
     return found.groupBy(*group).agg(
         *[
             (
-                F.sum(F.when(F.col("name") == name, F.col("_v") * weight)).cast("double")
+                F.sum(F.when(F.col("name") == name, F.col("_v") * share)).cast("double")
                 / F.lit(float(f.denominator))
             ).alias(name)
             for name, f in quantiles.items()

@@ -268,21 +268,25 @@ def top_errors(events: DataFrame, n: int = TOP_ROWS) -> DataFrame:
 
 def problem_values(events: DataFrame, column: str, n: int = TOP_ROWS) -> DataFrame:
     """Tables or users by total time: events, errors, total and p95 duration."""
-    rows = events.where(is_filled(column)).select(column, "duration_us", "mssql_error_code", "duration_ms")
-    totals = (
-        rows.groupBy(column)
+    # Counted once per value and duration; totals and ranks are sums over these counts.
+    counts = (
+        events.where(is_filled(column))
+        .groupBy(column, "duration_us")
         .agg(
             F.count(F.lit(1)).alias("cnt"),
             F.count_if(has_db_error()).alias("errors"),
             F.count_if(is_slow()).alias("slow"),
-            F.sum("duration_us").alias("total_us"),
         )
+    )
+    totals = (
+        counts.groupBy(column)
+        .agg(*[F.sum(c).alias(c) for c in ("cnt", "errors", "slow")], F.sum(F.col("duration_us") * F.col("cnt")).alias("total_us"))
         .orderBy(F.col("total_us").desc(), column)
         .limit(n)
     )
     # Only the listed values are ranked; at most n of them, so the side is tiny.
     listed = F.broadcast(totals.select(column))
-    p95 = exact_quantiles(rows.join(listed, column, "left_semi"), "duration_us", {"p95_us": P95}, [column])
+    p95 = exact_quantiles(counts.join(listed, column, "left_semi"), "duration_us", {"p95_us": P95}, [column], weight="cnt")
     return (
         totals.join(p95, column)
         .select(
