@@ -14,6 +14,8 @@ from tidelog.session import shared_dir
 
 # Texts worked on at once in a task; one longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
+# The same where each word of a text takes a row of numbers.
+WORD_SLICE_BYTES = 1 << 20
 # Rows up to which a lookup side is hinted as a broadcast. The sides in question
 # hold a few numbers or a short list of them per row, some 30 MB at most; beyond
 # it Spark joins by a shuffle.

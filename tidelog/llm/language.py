@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import held_out, slices, word_table
+from tidelog.llm.common import WORD_SLICE_BYTES, held_out, slices, word_table
 
 UNDETERMINED = "und"
 # Labelled documents learned from (at most, in expectation), hashed letter sequences, their lengths.
@@ -19,6 +19,8 @@ SWITCH = 12.0
 # A language is a candidate for a script if it has at least this share of its learned letters in it.
 SCRIPT_SHARE = 0.01
 FOREIGN = -50.0
+# Distinct words a model remembers the scores of.
+WORDS_KEPT = 200_000
 # Viterbi runs over so many texts side by side.
 SIDE_BY_SIDE = 256
 
@@ -44,11 +46,11 @@ def _script(word: str) -> int:
     return _NUMBERS[bisect_right(_STARTS, ord(word[0])) - 1]
 
 
-def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed letter sequences of words with their ends marked: ``(bucket, word)``."""
+def _grams(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashed letter sequences of words with their ends marked: ``(buckets, words)`` for each length, words ascending."""
     points = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le"), np.uint32).astype(np.uint64)
     word = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
-    buckets, owners, value = [], [], np.zeros(len(points), np.uint64)
+    found, value = [], np.zeros(len(points), np.uint64)
     for order in range(1, max(ORDERS) + 1):
         n = len(points) - order + 1
         if n <= 0:
@@ -57,9 +59,8 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         inside = word[:n] == word[order - 1 :]
         if order in ORDERS:
             mixed = value[inside] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 15)
-            buckets.append(mixed.astype(np.int64))
-            owners.append(word[:n][inside])
-    return np.concatenate(buckets), np.concatenate(owners)
+            found.append((mixed.astype(np.int64), word[:n][inside]))
+    return found
 
 
 class Model:
@@ -74,18 +75,29 @@ class Model:
         self.prior = np.log((weights + 1) / (weights + 1).sum())
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For distinct words: a score per language, and the number of letters."""
+        """For distinct words: a score per language, and the number of letters. Words seen before are remembered."""
+        known = self.__dict__.setdefault("known", {})
+        if len(known) + len(words) > WORDS_KEPT:
+            known.clear()
+        if not known:
+            self.kept = [np.zeros((0, len(self.langs))), np.zeros(0, np.int64)]
+        new = [w for w in words if w not in known]
+        known.update(zip(new, range(len(known), len(known) + len(new))))
+        self.kept = [np.concatenate(pair) for pair in zip(self.kept, self._scored(new))]
+        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return self.kept[0][at], self.kept[1][at]
+
+    def _scored(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = [_letters(w) for w in words]
-        size = np.array([len(p) for p in plain])
+        size = np.array([len(p) for p in plain], np.int64)
         scores = np.zeros((len(words), len(self.langs)))
         rows = np.flatnonzero(size)
         if len(rows):
             own = [plain[i] for i in rows]
-            buckets, owners = _grams(own)
-            starts = np.argsort(owners, kind="stable")
-            owners, values = owners[starts], self.table[buckets[starts]]
-            firsts = np.flatnonzero(np.concatenate(([True], np.diff(owners) != 0)))
-            found = np.add.reduceat(values, firsts, axis=0)
+            found = np.zeros((len(own), len(self.langs)))
+            for buckets, owners in _grams(own):
+                firsts = np.flatnonzero(np.concatenate(([True], np.diff(owners) != 0)))
+                found[owners[firsts]] += np.add.reduceat(self.table[buckets], firsts, axis=0)
             spoken = self.spoken[[_script(w) for w in own]]
             best = np.where(spoken, found, -np.inf).max(axis=1, keepdims=True)
             scores[rows] = np.where(spoken, found - best, FOREIGN)
@@ -182,7 +194,7 @@ def learn(docs: DataFrame, usable: Column, most: int = TRAINING_ROWS) -> Model:
 
     def count(batches):
         grams, scripts, docs_of = {}, {}, {}
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", WORD_SLICE_BYTES):
             codes, offsets, words = word_table(part.column("text"))
             plain = [_letters(w) for w in words]
             langs = part.column("lang").to_pylist()
@@ -191,9 +203,9 @@ def learn(docs: DataFrame, usable: Column, most: int = TRAINING_ROWS) -> Model:
                 docs_of[lang] = docs_of.get(lang, 0) + langs.count(lang)
                 used = [(plain[c], n) for c, n in zip(*np.unique(mine, return_counts=True)) if plain[c]]
                 if used:
-                    buckets, owners = _grams([w for w, _ in used])
                     times = np.array([n for _, n in used], float)
-                    grams[lang] = grams.get(lang, 0) + np.bincount(buckets, times[owners], BUCKETS)
+                    for buckets, owners in _grams([w for w, _ in used]):
+                        grams[lang] = grams.get(lang, 0) + np.bincount(buckets, times[owners], BUCKETS)
                     letters = np.array([len(w) for w, _ in used]) * times
                     scripts[lang] = scripts.get(lang, 0) + np.bincount([_script(w) for w, _ in used], letters, len(SCRIPTS))
         for kind, counts in ((0, grams), (1, scripts), (2, {k: np.array([n]) for k, n in docs_of.items()})):
@@ -221,7 +233,7 @@ def _predicted(rows: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             texts = batch.column("row").field("text")
             plain = pa.RecordBatch.from_arrays([batch.column("row"), texts], ["row", "text"])
-            for part in slices([plain], "text"):
+            for part in slices([plain], "text", WORD_SLICE_BYTES):
                 if shared.value.langs:
                     langs, score, spans = shared.value.predict(part.column("text"))
                 else:

@@ -11,7 +11,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import cut, held_out, slices, sums, word_table
+from tidelog.llm.common import WORD_SLICE_BYTES, cut, held_out, slices, sums, word_table
 
 # Labelled documents learned from (at most, in expectation), and terms of the lexicon.
 TRAINING_ROWS, LEXICON_TERMS = 12_000, 5_000
@@ -100,7 +100,7 @@ def featured(rows: DataFrame, lexicon: tuple[set[str], set[str]], keep: str) ->
     words, stems = lexicon
 
     def run(batches):
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", WORD_SLICE_BYTES):
             found = text_features(part.column("text"), words, stems)
             lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, len(FEATURES), dtype=np.int32), pa.array(found.reshape(-1)))
             yield pa.RecordBatch.from_arrays([part.column(keep), lists], [keep, "features"])
