@@ -1,0 +1,55 @@
+import numpy as np
+import pytest
+
+from tidelog.llm.near_copies import near_copy_groups
+
+WORDS = [f"w{i}" for i in range(500)]
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain(rows):
+    sets = [shingles(t) for _, t in rows]
+    label = [d for d, _ in rows]
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(rows)):
+            for j in range(i):
+                union = len(sets[i] | sets[j])
+                if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * union:
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+    return sorted((d, c) for (d, _), c in zip(rows, label))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    draw = np.random.default_rng(8)
+    texts = [" ".join(draw.choice(WORDS, n)) for n in draw.integers(1, 300, 80)]
+    for text in texts[:40]:
+        words = text.split()
+        for _ in range(draw.integers(1, 5)):  # near copies with a few words changed
+            changed = list(words)
+            for _ in range(1 + len(words) // 100):
+                changed[draw.integers(len(words))] = "changed"
+            texts.append(" ".join(changed))
+    texts += [None, "", " \n", texts[3].upper(), texts[3], "short text", "short  TEXT", "a b c d e f", "a b c d e g"]
+    found = [(int(i), t) for i, t in enumerate(texts)]
+    return [*found, found[5]]
+
+
+@pytest.mark.parametrize("tile_rows", [1 << 14, 9])
+def test_groups_equal_brute_force(spark, rows, tile_rows):
+    df = spark.createDataFrame([(d, t, 1) for d, t in [*rows, (None, rows[0][1])]], "doc_id long, text string, rep int")
+    got = sorted(map(tuple, near_copy_groups(df, tile_rows=tile_rows).collect()))
+    want = plain(rows)
+    assert got == want
+    assert sum(d != c for d, c in want) > 40
+
+
+def test_empty_table(spark):
+    assert near_copy_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0

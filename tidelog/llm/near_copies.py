@@ -1,0 +1,169 @@
+"""Near copies at a stated similarity: SimHash tiles give the candidates, shingle sets decide.
+
+Three differing bits of 64 mean nearly equal texts. To find all texts that
+share four fifths of their five-word shingles, the radius has to be far wider,
+and the fingerprint longer, so that unrelated texts stay outside.
+"""
+
+from __future__ import annotations
+
+from itertools import pairwise
+from math import log
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidelog.llm.common import cut, lookup, slices
+from tidelog.llm.components import Forest, connected_components
+from tidelog.llm.simhash import BLOCK, fingerprint
+
+WIDTH, SIMILARITY = 5, 0.8
+# Of 128 bits, texts at a similarity of 0.8 differ in 19.4 on average with a
+# deviation of 4.1 (the angle between their shingle vectors; more if they are
+# short), unrelated ones in 64 with 5.7. The radius is four and five deviations
+# away from these.
+SEEDS, RADIUS = (42, 43), 36
+TILE_ROWS = 1 << 14
+
+
+def _shingles(text: str | None, width: int) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's distinct shingles."""
+    words = (text or "").encode().lower().split()
+    found = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else ()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 7) for s in found), np.uint64, len(found)))
+
+
+def _similar(one: np.ndarray, two: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return both >= (similarity - 1e-9) * (len(one) + len(two) - both)
+
+
+class Tile:
+    """Texts of one tile, as left and as right sides, in order of their population counts."""
+
+    def __init__(self, table: pa.Table):
+        self.fps = np.stack([table.column(f"fp{i}").to_numpy().view(np.uint64) for i in range(len(SEEDS))], axis=1)
+        self.ids, role = table.column("rep").to_numpy(), table.column("role").to_numpy()
+        self.population = np.bitwise_count(self.fps).sum(axis=1, dtype=np.int64)
+        sides = (np.flatnonzero(role & side) for side in (1, 2))
+        self.left, self.right = (side[np.argsort(self.population[side], kind="stable")] for side in sides)
+
+    def pairs(self):
+        """Pairs of different ids within the radius, block by block: ``(left rows, right rows)``, left rows in runs."""
+        for at in range(0, len(self.left), 256):
+            rows = self.left[at : at + 256]
+            # Blocks whose population counts differ beyond the radius are skipped.
+            low = np.searchsorted(self.population[self.right], self.population[rows[0]] - RADIUS, "left")
+            high = np.searchsorted(self.population[self.right], self.population[rows[-1]] + RADIUS, "right")
+            for start in range(low, high, BLOCK // 256):
+                near = self.right[start : min(high, start + BLOCK // 256)]
+                distance = sum(np.bitwise_count(self.fps[rows, i][:, None] ^ self.fps[near, i][None, :]) for i in range(len(SEEDS)))
+                a, b = np.nonzero((distance <= RADIUS) & (self.ids[rows][:, None] != self.ids[near][None, :]))
+                yield rows[a], near[b]
+
+
+def _with_partners(table: pa.Table) -> pa.Table:
+    """Ids of a tile that have a partner within the radius."""
+    tile, met = Tile(table), [np.zeros(0, np.int64)]
+    for a, b in tile.pairs():
+        met.append(np.unique(np.concatenate((tile.ids[a], tile.ids[b]))))
+    return pa.table({"rep": np.unique(np.concatenate(met))})
+
+
+def _linked(table: pa.Table, similarity: float) -> pa.Table:
+    """A forest of the pairs of a tile that are within the radius and as similar as wanted.
+
+    Partners that are connected already are not compared again; of the others
+    each is, until one of its component is found to be similar.
+    """
+    tile, links = Tile(table), []
+    lists = table.column("shingles").combine_chunks()
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+    shingles = lambda row: values[ends[row] : ends[row + 1]]
+    _, node = np.unique(tile.ids, return_inverse=True)  # an id that is left and right is one node
+    forest = Forest(len(node))
+    for a, b in tile.pairs():
+        starts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else []
+        for start, stop in pairwise([*starts, len(a)]):
+            row, own = a[start], forest.roots(node[a[start : start + 1]])[0]
+            for partner in b[start:stop][forest.roots(node[b[start:stop]]) != own]:
+                ends_of = forest.roots(node[[row, partner]])
+                if ends_of[0] != ends_of[1] and _similar(shingles(row), shingles(partner), similarity):
+                    forest.unite(node[[row, partner]])
+                    links.append((tile.ids[row], tile.ids[partner]))
+    found = np.array(links, np.int64).reshape(-1, 2)
+    return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+
+def near_copy_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """``doc_id, component_id`` of every row of ``docs`` with a doc_id (``doc_id``, ``text``; other columns are ignored).
+
+    Texts link if their sets of word shingles (A-Z in lower case, ASCII white
+    space) have a Jaccard similarity of at least ``similarity``;
+    ``component_id`` is the smallest id reachable. Equal words form one class.
+    Classes are laid into tiles by their number of shingles, and only tiles
+    whose numbers allow the similarity are compared; a class of sizes with more
+    than ``tile_rows`` texts is dealt into pieces that meet pair by pair. A
+    tile returns a forest, never all pairs of a group. Texts with a partner
+    within the radius come to the tiles a second time with their shingle
+    hashes, where each possible link is tried until its ends are connected. The table of class
+    sizes has one row per power of 1 / similarity, some hundred for texts of
+    any length. Null, blank and empty texts are copies of each other. Rows that share
+    an id are one document, whose smallest text is compared.
+    """
+
+    def describe(batches):
+        for part in slices(batches, "text"):
+            texts = part.column("text").to_pylist()
+            prints = [pa.array(np.array([fingerprint(t, width, seed) for t in texts], np.uint64).view(np.int64)) for seed in SEEDS]
+            sizes = pa.array([len(_shingles(t, width)) for t in texts], pa.int64())
+            words = pa.array([b" ".join((t or "").encode().lower().split()) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), words, sizes, *prints], ["doc_id", "words", "size", "fp0", "fp1"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    described = rows.mapInArrow(describe, "doc_id long, words binary, size long, fp0 long, fp1 long")
+    bucket = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(log(1 / similarity)) + 1e-9).cast("long")
+    described = cut(described.select("doc_id", F.unhex(F.md5("words")).alias("digest"), bucket.alias("bucket"), "fp0", "fp1"))
+    classes = described.groupBy("digest", "bucket", "fp0", "fp1").agg(F.min("doc_id").alias("rep"))
+    classes = cut(classes)
+    pieces = {r["bucket"]: -(-r["n"] // tile_rows) for r in classes.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+
+    def deal(batches):
+        for batch in batches:
+            buckets, fp0 = batch.column("bucket").to_numpy(), batch.column("fp0").to_numpy().view(np.uint64)
+            for b in np.unique(buckets).tolist():
+                here = np.flatnonzero(buckets == b)
+                mine = (fp0[here] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % pieces[b]
+                same, above, below = range(pieces[b]), range(pieces.get(b + 1, 0)), range(pieces.get(b - 1, 0))
+                parts = [(b, mine, np.full(len(mine), o), 1, mine <= o) for o in same]
+                parts += [(b, np.full(len(mine), o), mine, 2, mine >= o) for o in same]
+                # Left in tiles with the next larger sizes, right in tiles with the next smaller ones.
+                parts += [(-b - 1, mine, np.full(len(mine), o), 1, mine >= 0) for o in above]
+                parts += [(-b, np.full(len(mine), o), mine, 2, mine >= 0) for o in below]
+                for kind, left, right, role, on in parts:
+                    taken = batch.take(pa.array(here[on])).drop_columns(["bucket"])
+                    places = [np.full(taken.num_rows, kind), left[on], right[on], np.full(taken.num_rows, role)]
+                    arrays = [pa.array(x.astype(np.int64)) for x in places]
+                    yield pa.RecordBatch.from_arrays([*arrays, *taken.columns], ["kind", "left", "right", "role", *taken.schema.names])
+
+    def hashed(batches):
+        for part in slices(batches, "text"):
+            lists = [_shingles(t, width).view(np.int64) for t in part.column("text").to_pylist()]
+            columns = [part.column(c) for c in ("bucket", "rep", "fp0", "fp1")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lists, pa.list_(pa.int64()))], ["bucket", "rep", "fp0", "fp1", "shingles"])
+
+    texts_schema = "rep long, fp0 long, fp1 long"
+    tiles_schema = f"kind long, left long, right long, role long, {texts_schema}"
+    dealt = classes.select("bucket", "rep", "fp0", "fp1").mapInArrow(deal, tiles_schema)
+    met = lookup(cut(dealt.groupBy("kind", "left", "right").applyInArrow(_with_partners, "rep long").distinct()))
+    # The few texts with a partner meet again in the same tiles, now with their shingles.
+    texts = rows.join(met.withColumnRenamed("rep", "doc_id"), "doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text"))
+    again = classes.join(texts, "rep").select("bucket", "rep", "fp0", "fp1", "text")
+    again = again.mapInArrow(hashed, f"bucket long, {texts_schema}, shingles array<long>").mapInArrow(deal, f"{tiles_schema}, shingles array<long>")
+    links = again.groupBy("kind", "left", "right").applyInArrow(lambda tile: _linked(tile, similarity), "a long, b long")
+    roots = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "root")
+    named = classes.join(roots, "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
+    return described.join(named, "digest").select("doc_id", "component_id")
