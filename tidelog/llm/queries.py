@@ -73,6 +73,7 @@ QUERIES = {
 }
 ORACLE: dict[str, str] = {
     "op3_decontamination": contamination.PAIRS_SQL,
+    "op7_embedding_dedup": embeddings.GROUPS_SQL,
     "op8_chat_format": chat.DIGESTS_SQL,
     "op9_line_dedup": boilerplate.LINES_SQL,
 }
