@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from tidelog.llm import near_copies
 from tidelog.llm.near_copies import near_copy_groups
 
 WORDS = [f"w{i}" for i in range(500)]
@@ -53,3 +54,42 @@ def test_groups_equal_brute_force(spark, rows, tile_rows):
 
 def test_empty_table(spark):
     assert near_copy_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("tile_rows", [1 << 14, 9])
+def test_repeated_lines_do_not_hide_near_copies(spark, tile_rows):
+    draw, texts = np.random.default_rng(5), []
+    for times in (1, 5, 10, 20, 40):
+        for _ in range(4):
+            body, line = list(draw.choice(WORDS, 1000)), list(draw.choice(WORDS, 20))
+            other = list(line)
+            for at in draw.choice(20, 4, replace=False):
+                other[at] = "changed"
+            texts += [" ".join(body + each * times) for each in (line, other)]
+    rows = list(enumerate(texts))
+    want = plain(rows)
+    assert want == [(d, d - d % 2) for d, _ in rows]
+    got = near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string"), tile_rows=tile_rows)
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_no_short_pair_is_missed(spark):
+    # 8 words against the same plus one have 4 of 5 shingles in common.
+    draw = np.random.default_rng(6)
+    texts = [" ".join(f"w{i}" for i in draw.integers(0, 1 << 40, 8)) for _ in range(1500)]
+    rows = list(enumerate([t for text in texts for t in (text, f"{text} more")]))
+    got = near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string"), tile_rows=700)
+    assert sorted(map(tuple, got.collect())) == [(d, d - d % 2) for d, _ in rows]
+
+
+def test_few_shingles_are_within_their_bound():
+    draw = np.random.default_rng(7)
+    last = int(1.25 ** (near_copies._last_exact(0.8) + 1))
+    assert 100 < last and 2 * last * near_copies._apart(0.8) < near_copies.RADIUS + 1
+    for size in (*range(4, 12), *draw.integers(4, last, 300)):
+        one = np.unique(draw.integers(0, 1 << 63, size, np.uint64))
+        gone = draw.integers(0, size // 9 + 1)
+        two = np.unique(np.concatenate((one[gone:], draw.integers(0, 1 << 63, gone, np.uint64))))
+        assert near_copies._similar(one, two, 0.8)
+        bits = np.bitwise_count(near_copies._prints(one)[2:] ^ near_copies._prints(two)[2:]).sum()
+        assert bits <= near_copies._apart(0.8) * (len(one) + len(two)) + 1e-9
