@@ -93,3 +93,15 @@ def test_few_shingles_are_within_their_bound():
         assert near_copies._similar(one, two, 0.8)
         bits = np.bitwise_count(near_copies._prints(one)[2:] ^ near_copies._prints(two)[2:]).sum()
         assert bits <= near_copies._apart(0.8) * (len(one) + len(two)) + 1e-9
+
+
+def test_pieces_grow_with_the_shingles(spark):
+    classes = spark.createDataFrame([*((i, 37, 4000) for i in range(10)), (10, 60, 1 << 20)], "rep long, bucket long, size long")
+    assert near_copies._pieces(classes, 4) == {37: 3, 60: 1}
+    # 10 texts of 32 kB in tiles of 64 kB a side; a single text is never dealt out.
+    assert near_copies._pieces(classes, 4, 64_000) == {37: 5, 60: 1}
+
+
+def test_groups_are_the_same_in_small_tiles(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, near_copy_groups(df, tile_bytes=4000).collect())) == plain(rows)

@@ -31,6 +31,8 @@ RADIUS = 36
 # 128 bits each: a SimHash, and a parity sketch for texts of few shingles.
 SIMHASH, PARITY = ("fp0", "fp1"), ("odd0", "odd1")
 TILE_ROWS = 1 << 14
+# Shingle hashes on one side of a tile; a class of sizes with more is dealt into more pieces.
+TILE_BYTES = 1 << 26
 
 
 def _shingles(text: str | None, width: int) -> np.ndarray:
@@ -144,7 +146,14 @@ def _linked(table: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
 
-def near_copy_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, tile_rows: int = TILE_ROWS) -> DataFrame:
+def _pieces(classes: DataFrame, tile_rows: int, tile_bytes: int | None = None) -> dict[int, int]:
+    """Pieces of each class of sizes: by its rows, and by the bytes of its shingle hashes if they come along."""
+    sums = classes.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("hashes")).collect()
+    by_bytes = {r["bucket"]: min(r["n"], -(-r["hashes"] * 8 // tile_bytes)) if tile_bytes else 1 for r in sums}
+    return {r["bucket"]: max(-(-r["n"] // tile_rows), by_bytes[r["bucket"]]) for r in sums}
+
+
+def near_copy_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, tile_rows: int = TILE_ROWS, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """``doc_id, component_id`` of every row of ``docs`` with a doc_id (``doc_id``, ``text``; other columns are ignored).
 
     Texts link if their sets of word shingles (A-Z in lower case, ASCII white
@@ -157,7 +166,9 @@ def near_copy_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     texts one just at the limit is missed once in some 20 000. A
     tile returns a forest, never all pairs of a group. Texts with a partner
     within the radius come to the tiles a second time with their shingle
-    hashes, where each possible link is tried until its ends are connected. The table of class
+    hashes, where each possible link is tried until its ends are connected; there
+    a class is dealt into as many pieces as keep a side within ``tile_bytes`` of
+    hashes too. The table of class
     sizes has one row per power of 1 / similarity, some hundred for texts of
     any length. Null, blank and empty texts are copies of each other. Rows that share
     an id are one document, whose smallest text is compared.
@@ -179,14 +190,13 @@ def near_copy_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     described = cut(described.select("doc_id", F.unhex(F.md5("words")).alias("digest"), bucket.alias("bucket"), "size", *SIMHASH, *PARITY))
     classes = described.groupBy("digest", "bucket", "size", *SIMHASH, *PARITY).agg(F.min("doc_id").alias("rep"))
     classes = cut(classes)
-    pieces = {r["bucket"]: -(-r["n"] // tile_rows) for r in classes.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
 
-    def deal(batches):
+    def deal(batches, pieces):
         for batch in batches:
-            buckets, fp0 = batch.column("bucket").to_numpy(), batch.column("fp0").to_numpy().view(np.uint64)
+            buckets, rep = batch.column("bucket").to_numpy(), _mixed(batch.column("rep").to_numpy().view(np.uint64))
             for b in np.unique(buckets).tolist():
                 here = np.flatnonzero(buckets == b)
-                mine = (fp0[here] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % pieces[b]
+                mine = (rep[here] >> np.uint64(1)).astype(np.int64) % pieces[b]
                 same, above, below = range(pieces[b]), range(pieces.get(b + 1, 0)), range(pieces.get(b - 1, 0))
                 parts = [(b, mine, np.full(len(mine), o), 1, mine <= o) for o in same]
                 parts += [(b, np.full(len(mine), o), mine, 2, mine >= o) for o in same]
@@ -207,12 +217,14 @@ def near_copy_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SI
 
     placed, texts_schema = ["bucket", "rep", "size", *SIMHASH, *PARITY], f"rep long, {prints_schema}"
     tiles_schema = f"kind long, left long, right long, role long, {texts_schema}"
-    dealt = classes.select(*placed).mapInArrow(deal, tiles_schema)
+    by_rows = _pieces(classes, tile_rows)
+    dealt = classes.select(*placed).mapInArrow(lambda batches: deal(batches, by_rows), tiles_schema)
     met = lookup(cut(dealt.groupBy("kind", "left", "right").applyInArrow(lambda tile: _with_partners(tile, similarity), "rep long").distinct()))
-    # The few texts with a partner meet again in the same tiles, now with their shingles.
+    # The few texts with a partner meet again, now with their shingles, in tiles of bounded bytes.
     texts = rows.join(met.withColumnRenamed("rep", "doc_id"), "doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text"))
-    again = classes.join(texts, "rep").select(*placed, "text")
-    again = again.mapInArrow(hashed, f"bucket long, {texts_schema}, shingles array<long>").mapInArrow(deal, f"{tiles_schema}, shingles array<long>")
+    by_bytes = _pieces(classes.join(met, "rep", "left_semi"), tile_rows, tile_bytes)
+    again = classes.join(texts, "rep").select(*placed, "text").mapInArrow(hashed, f"bucket long, {texts_schema}, shingles array<long>")
+    again = again.mapInArrow(lambda batches: deal(batches, by_bytes), f"{tiles_schema}, shingles array<long>")
     links = again.groupBy("kind", "left", "right").applyInArrow(lambda tile: _linked(tile, similarity), "a long, b long")
     roots = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "root")
     named = classes.join(roots, "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
