@@ -1,3 +1,4 @@
+import copy
 import itertools
 
 import numpy as np
@@ -40,6 +41,19 @@ def test_viterbi_equals_all_paths(model):
                 assert tuple(labels[a:b]) == best_path(scores[a:b], model.prior)
 
 
+def test_uneven_prior_equals_all_paths(model):
+    draw, uneven = np.random.default_rng(9), copy.copy(model)
+    uneven.prior = np.linspace(-9.0, 0.0, len(model.langs))
+    for scale in (3, 6, 10):
+        lengths = draw.integers(0, 7, 120)
+        offsets = np.concatenate(([0], np.cumsum(lengths)))
+        scores = draw.standard_normal((offsets[-1], len(model.langs))) * scale
+        labels = uneven.spans(scores, offsets)
+        for a, b in zip(offsets[:-1], offsets[1:]):
+            if a < b:
+                assert tuple(labels[a:b]) == best_path(scores[a:b], uneven.prior)
+
+
 def test_held_out_accuracy(docs, model):
     found = language.identify(docs, model).alias("p").join(docs.alias("d"), "doc_id").where(held_out("doc_id"))
     assert found.select(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.97

@@ -108,8 +108,9 @@ class Model:
 
         Most texts have one language. Leaving a text's best language for a run
         of words gains at most the run's sum of differences to the best other
-        language, and costs one switch or more; if no run gains that much, the
-        best path is the constant one. Only the other texts are searched.
+        language, and costs one switch or more; a path that begins in another
+        language also gains what its prior is higher. If no run gains that
+        much, the best path is the constant one. Only the other texts are searched.
         """
         n_texts, lengths = len(offsets) - 1, np.diff(offsets)
         if not len(scores):
@@ -129,7 +130,7 @@ class Model:
         least = np.minimum.accumulate(gain[:-1] - step * text) + step * text
         runs = np.full(n_texts, -np.inf)
         np.maximum.at(runs, text, gain[1:] - least)
-        mixed = np.flatnonzero(runs > SWITCH)
+        mixed = np.flatnonzero(runs > SWITCH - (self.prior.max() - self.prior[best]))
         mixed = mixed[np.argsort(lengths[mixed], kind="stable")]
         for at in range(0, len(mixed), SIDE_BY_SIDE):
             self._viterbi(scores, offsets, mixed[at : at + SIDE_BY_SIDE], labels)
