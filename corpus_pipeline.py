@@ -18,11 +18,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter (null and empty texts too) go. A null ``lang`` gets the predicted one."""
+    """Documents with the language the model finds in them as ``lang``; those without a letter (null and empty texts too) go."""
     docs = docs.select(*COLUMNS)
     found = language.with_language(docs, language.learn(docs, ~held_out("doc_id")))
     kept = found.where(F.col("lang_pred") != language.UNDETERMINED)
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

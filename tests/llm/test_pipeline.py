@@ -79,6 +79,14 @@ def test_stages_equal_plain_versions(spark):
     assert tokens == {d: len(codec.encode(t)) // 4 for d, t, _ in rows(clean)}
 
 
+def test_language_stage_gives_the_predicted_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mislabelled = docs.where((F.col("lang") == "en") & (F.length("text") > 900)).orderBy("doc_id").limit(1)
+    mislabelled = mislabelled.withColumn("doc_id", F.lit(20_000).cast("long")).withColumn("lang", F.lit("de"))
+    found = pipeline.identify_language(spark, docs.unionByName(mislabelled), SF)
+    assert [r["lang"] for r in found.where("doc_id = 20000").collect()] == ["en"]
+
+
 def test_stages_take_empty_and_null_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     nulls = spark.createDataFrame([(None, None, None, None, None), (1, None, None, None, None)], SCHEMA)
