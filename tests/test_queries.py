@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as contract
 from check import normal
 from tidelog.checks.oracle import ORACLE
-from tidelog.checks.queries import PAGE_FILTER, QUERIES, RATIO_FILTER, journal, session_rows
+from tidelog.checks.queries import PAGE_FILTER, QUERIES, RATIO_FILTER, cascade, journal, session_rows
 from tidelog.operators.paging import take_slice
 from tidelog.plans import analysis, report, search
 from tidelog.plans.sessions import filtered_sessions
@@ -37,6 +37,19 @@ def test_query_equals_sql(spark, oracle, name):
     assert len(want) and normal(got) == normal(want)
 
 
+def test_cascade_leaves_all_other_sessions_of_the_whole_journal(spark):
+    rows = journal(spark, LARGER)
+    gone = {f"s_2024010{day}" for day in range(1, 5)}
+    files, events = {}, {}
+    for r in rows.select("session_id", "directory_name", "source_file").collect():
+        files.setdefault(r[0], set()).add((r[1], r[2]))
+        events[r[0]] = events.get(r[0], 0) + 1
+    assert gone < set(events) and len(events) > 20
+    want = {(s, len(files[s]), len(files[s]), events[s]) for s in events if s not in gone}
+    got = cascade(spark, rows).select("session_id", "total_files", "files", "events").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_every_query_is_registered(spark):
     assert set(QUERIES) == set(ORACLE)
     assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())

@@ -129,8 +129,12 @@ def stored_session_files(spark, sf_dir):
 
 
 def stored_cascade(spark, sf_dir):
-    """Files and events of the sessions that stay when four are deleted."""
-    rows = journal(spark, sf_dir).where(F.col("event_date") < F.lit(date(2024, 1, 9)))
+    """``cascade`` over the first eight days only, the days of its SQL counterpart."""
+    return cascade(spark, journal(spark, sf_dir).where(F.col("event_date") < F.lit(date(2024, 1, 9))))
+
+
+def cascade(spark, rows):
+    """Files and events of the sessions of ``rows`` that stay when four are deleted."""
     events, store = EventStore(spark, scratch_path(spark, "cascade-events")), SessionStore(spark, scratch_path(spark, "cascade"))
     events.write(rows)
     store.put(sessions.sessions_from_events(rows))
