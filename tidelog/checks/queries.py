@@ -155,14 +155,22 @@ def delete_sessions(spark, sf_dir):
     return kept.groupBy("session_id").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def with_read_sizes(sizes, stored):
+    """Footprint with ``read_files, read_bytes`` of the files that the stored rows of a session come from."""
+    files = stored.select("session_id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).distinct()
+    read = files.groupBy("session_id").agg(F.count(F.lit(1)).alias("read_files"), F.sum("bytes").alias("read_bytes"))
+    return sizes.join(read, "session_id", "full")
+
+
 def stored_sizes(spark, sf_dir):
-    sizes = footprint(spark, stored_journal_path(spark, sf_dir))
+    path = stored_journal_path(spark, sf_dir)
+    sizes = with_read_sizes(footprint(spark, path), spark.read.parquet(path))
     rows = session_rows(spark, sf_dir).select("session_id", "total_events", "start_date", "end_date")
-    # Bytes depend on the writer, so they are compared with each other only.
+    # Bytes depend on the writer, so they are compared with those of the files that hold the rows.
     mb = F.round(F.col("n_bytes") / F.lit(1048576.0), 2)
     return sessions.with_footprint(rows, sizes).select(
         "session_id", "total_events", "start_date", "end_date",
-        ((F.col("n_files") > 0) & (F.col("n_bytes") > 0)).alias("is_stored"), (F.col("size_mb") == mb).alias("mb_agrees"),
+        ((F.col("n_files") == F.col("read_files")) & (F.col("n_bytes") == F.col("read_bytes"))).alias("is_stored"), (F.col("size_mb") == mb).alias("mb_agrees"),
     )
 
 
