@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidelog.llm import boilerplate, chat, contamination, embeddings, html_text, language, simhash, toxicity
+from tidelog.llm import boilerplate, chat, contamination, embeddings, html_text, language, merkle, simhash, toxicity
 from tidelog.llm.byte_bpe import token_digests
 from tidelog.llm.common import read_table
 from tidelog.llm.token_files import token_round_trip
@@ -58,6 +58,10 @@ def op10_language_id(spark, sf_dir):
     return language.learn_and_identify(read_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -69,6 +73,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {
@@ -76,4 +81,5 @@ ORACLE: dict[str, str] = {
     "op7_embedding_dedup": embeddings.GROUPS_SQL,
     "op8_chat_format": chat.DIGESTS_SQL,
     "op9_line_dedup": boilerplate.LINES_SQL,
+    "op12_merkle_manifest": merkle.MANIFEST_SQL,
 }
