@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidelog.llm import boilerplate, chat, contamination, embeddings, html_text, language, merkle, simhash, toxicity
+from tidelog.llm import boilerplate, chat, contamination, embeddings, html_text, language, lexical, merkle, simhash, toxicity
 from tidelog.llm.byte_bpe import token_digests
 from tidelog.llm.common import read_table
 from tidelog.llm.token_files import token_round_trip
@@ -62,6 +62,10 @@ def op12_merkle_manifest(spark, sf_dir):
     return merkle.manifest(read_table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark, sf_dir):
+    return lexical.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -74,6 +78,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_lexical_search": op13_lexical_search,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {
@@ -82,4 +87,5 @@ ORACLE: dict[str, str] = {
     "op8_chat_format": chat.DIGESTS_SQL,
     "op9_line_dedup": boilerplate.LINES_SQL,
     "op12_merkle_manifest": merkle.MANIFEST_SQL,
+    "op13_lexical_search": lexical.RANKED_SQL,
 }
