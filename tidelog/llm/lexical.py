@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import cut, slices
 from tidelog.session import scratch_path
 
-# A term is a maximal run of other characters than these ASCII ones.
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-# The bytes of a text: letters A-Z in lower case, bytes of no term as spaces.
+# A term is a maximal run of characters that are neither ASCII marks nor ASCII
+# spaces. In the bytes of a text, letters A-Z become lower case and bytes of no
+# term spaces.
 _BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
 TOP = 20
 # A block of the index: so many documents or bytes of text at most (one document at least).
@@ -30,10 +30,14 @@ ITEMS_AT_ONCE, OPENED = 64, 24
 _POPULATION = np.array([bin(i).count("1") for i in range(16)], np.int64)
 
 
+def _low(text: str | None) -> bytes:
+    """A text with its terms between spaces."""
+    return b"" if text is None else text.encode().translate(_BYTES)
+
+
 def terms_of(texts: pa.Array) -> pa.ListArray:
     """The terms of each text, with only A-Z lower-cased; null texts have none."""
-    low = [b"" if t is None else t.encode(errors="replace").translate(_BYTES) for t in texts.to_pylist()]
-    return pc.ascii_split_whitespace(pa.array(low, pa.binary()).cast(pa.string()))
+    return pc.ascii_split_whitespace(pa.array(map(_low, texts.to_pylist()), pa.binary()).cast(pa.string()))
 
 
 def _counted(lists: pa.ListArray, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -198,9 +202,14 @@ def search_treap(treap: Treap, rows: np.ndarray, weights: np.ndarray, floors: np
 
 def corpus_counts(docs: DataFrame) -> tuple[int, int]:
     """Documents with a term, and terms with repeats, of all documents."""
-    n = F.regexp_count(F.col("text").cast("string"), F.lit(TERM))
-    filled, terms = docs.select(n.alias("n")).where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    return filled, terms
+
+    def run(batches):
+        for batch in batches:
+            n = [len(_low(t).split()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(bool, n))], pa.int64()), pa.array([sum(n)], pa.int64())], ["filled", "terms"])
+
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "filled long, terms long")
+    return tuple(counts.agg(F.coalesce(F.sum("filled"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first())
 
 
 INDEX = "block string, docs array<long>, terms array<string>, found array<int>, treap binary"
@@ -212,7 +221,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     An impact is what an occurrence count gives in a document of its length:
     10**9 * tf div (1000 * tf + 12 * m) with m = 75 + 25 * n * N div L. In a
     block, terms are numbered by falling largest impact and documents by length,
-    so that near cells have near values. Documents without a term are left out.
+    so that near cells have near values. Documents without a term have no points.
     """
     filled, total = corpus_counts(docs)
 
@@ -252,7 +261,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     path = scratch_path(docs.sparkSession, "lexical-index")
     # Blocks are large rows, so a row group holds few of them.
-    rows.where(F.regexp_like("text", F.lit(TERM))).mapInArrow(run, INDEX).write.option("parquet.block.size", 16 << 20).parquet(path)
+    rows.mapInArrow(run, INDEX).write.option("parquet.block.size", 16 << 20).parquet(path)
     return docs.sparkSession.read.schema(INDEX).parquet(path).withColumns({"n_docs": F.lit(filled)})
 
 
