@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidelog.llm import boilerplate, chat, contamination, embeddings, html_text, language, lexical, merkle, simhash, toxicity
+from tidelog.llm import boilerplate, chat, contamination, embeddings, html_text, language, lexical, merkle, secret_scan, simhash, toxicity
 from tidelog.llm.byte_bpe import token_digests
 from tidelog.llm.common import read_table
 from tidelog.llm.token_files import token_round_trip
@@ -58,6 +58,10 @@ def op10_language_id(spark, sf_dir):
     return language.learn_and_identify(read_table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark, sf_dir):
+    return secret_scan.find_secrets(read_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark, sf_dir):
     return merkle.manifest(read_table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
+    "op11_secret_scan": op11_secret_scan,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_lexical_search": op13_lexical_search,
     "pipeline": corpus_pipeline.run,
