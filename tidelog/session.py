@@ -63,6 +63,12 @@ def _file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of its file system, the same on every machine."""
+    fs, target = _file_system(spark, path)
+    return str(fs.makeQualified(target).toString())
+
+
 def drop_path(spark: SparkSession, path: str) -> bool:
     """Delete a path this library wrote, on whatever file system holds it."""
     fs, target = _file_system(spark, path)
