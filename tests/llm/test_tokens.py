@@ -28,6 +28,25 @@ def test_word_encoder_equals_the_library(texts, monkeypatch):
     assert [ids.tolist() for ids in own.encode(texts)] == want
     monkeypatch.setattr(token_files, "WORDS_KEPT", 10)
     assert [ids.tolist() for t in texts for ids in own.encode([t])] == want
+    small = token_files.WordEncoder(JSON)
+    for _ in range(2):
+        assert [ids.tolist() for t in texts for ids in small.encode([t])] == want
+    assert len(small.known) < 0.2 * len(own.known)
+
+
+def test_special_tokens_are_text():
+    ids = token_files.WordEncoder(JSON).encode(["a<|endoftext|>b", "<|endoftext|>"])
+    assert all(50256 not in own and len(own) > 5 for own in ids)
+
+
+def test_given_texts_equal_the_library():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    own = token_files.WordEncoder(JSON)
+    for start in range(0, len(texts), 100):
+        some = texts[start : start + 100]
+        assert [ids.tolist() for ids in own.encode(some)] == [e.ids for e in own.tokenizer.encode_batch(some, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("kind", ["byte", "bit"])

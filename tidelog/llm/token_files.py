@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -26,13 +27,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import cut, slices
-from tidelog.session import scratch_path
+from tidelog.session import qualified, scratch_path
 
 MAGIC = b"TPLN"
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 25
-# Distinct words a Python worker keeps the ids of, so that a repeated word is not encoded again.
-WORDS_KEPT = 400_000
+# Distinct words a Python worker keeps the ids of, so that a repeated word is not encoded again;
+# beyond that only the most frequent half stays. Some 200 MB.
+WORDS_KEPT = 1_000_000
 END_ID = 2
 
 
@@ -132,42 +134,110 @@ class Reader:
             yield doc_id, pieces(n)
 
 
-class WordEncoder:
-    """Ids of whole texts by a tokenizer of the ``tokenizers`` library whose pre-tokens start at a space.
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places ``starts[i] ... starts[i] + sizes[i] - 1`` of all i, one after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
 
-    A byte-level tokenizer's pre-tokens never cross the place before a single
-    space that follows a non-space and is followed by one, so words can be
-    encoded apart and remembered. Texts with other runs of white space around
-    a space are encoded whole.
+class WordEncoder:
+    """Ids of whole texts by a byte-level tokenizer of the ``tokenizers`` library.
+
+    In a text whose only white space are single spaces and line feeds between
+    words, a pre-token never crosses the place before a space, nor either side
+    of a line feed, so words are encoded apart, each with what goes before it,
+    and remembered. New words are encoded in one call, as a text: the ids that
+    begin with white space tell where each word begins. A mark of ``ENDS``
+    between a letter or digit and white space is a pre-token of its own, so it
+    is encoded apart from its word. Texts with other white space are encoded
+    whole. Text that spells a special token is ordinary text, as in the example
+    of the tokenizer files' README: ``encode_special_tokens`` is set.
     """
 
+    ENDS = ",.;:!?"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes | None] = {}
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        names = sorted((number, name) for name, number in self.tokenizer.get_vocab(with_added_tokens=False).items())
+        self.opens = np.zeros(names[-1][0] + 1, bool)
+        # A space and a line feed, as a byte-level vocabulary writes them.
+        self.opens[[number for number, name in names if name[0] in "\u0120\u010a"]] = True
+        self.marks = {mark: self._encoded([mark])[0] for mark in self.ENDS}
+        # Number of each known word; its ids in ``flat``, and how often it was met.
+        self.known: dict[str, int] = {}
+        self.flat, self.starts, self.sizes, self.uses = np.empty(0, "<u4"), *(np.empty(0, np.int64) for _ in range(3))
+
+    def _forget(self) -> None:
+        """Keeps the half of the words that were met most, and of those only words met again."""
+        names = np.array(list(self.known), object)
+        kept = np.argsort(-self.uses, kind="stable")[: WORDS_KEPT // 2]
+        kept = np.sort(kept[self.uses[kept] > 1])
+        self.known = dict(zip(names[kept].tolist(), range(len(kept))))
+        self.flat, self.sizes, self.uses = self.flat[_ranges(self.starts[kept], self.sizes[kept])], self.sizes[kept], self.uses[kept]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _remember(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
+        self.flat, self.sizes = np.concatenate((self.flat, flat.astype("<u4"))), np.concatenate((self.sizes, sizes))
+        self.uses = np.concatenate((self.uses, np.zeros(len(words), np.int64)))
+
+    def _learn(self, words: set[str]) -> None:
+        """Encodes words; one after a line feed begins with it, all others come after a space."""
+        odd = [w for w in words if [w[w[:1] == "\n" :]] != w.split()]
+        self._remember(odd, np.empty(0, "<u4"), np.zeros(len(odd), np.int64))
+        marked = [w for w in words.difference(odd) if w[-1] in self.marks and len(w) > 1 and w[-2].isalnum()]
+        plain = list(words.union([w[:-1] for w in marked]).difference(marked, self.known))
+        if plain:
+            ids = self._encoded(["".join(w if w[0] == "\n" else " " + w for w in plain)])[0]
+            begins = np.flatnonzero(self.opens[ids])
+            if len(begins) == len(plain):
+                sizes = np.diff(np.append(begins, len(ids)))
+            else:
+                each = self._encoded([w if w[0] == "\n" else " " + w for w in plain])
+                ids, sizes = np.concatenate(each), np.array([len(e) for e in each])
+            self._remember(plain, ids, sizes)
+        if marked:
+            stems = np.array([self.known[w[:-1]] for w in marked])
+            ends = [self.marks[w[-1]] for w in marked]
+            pieces, sizes = self.flat[_ranges(self.starts[stems], self.sizes[stems])], self.sizes[stems]
+            flat = np.insert(pieces, np.repeat(np.cumsum(sizes), [len(e) for e in ends]), np.concatenate(ends))
+            self._remember(marked, flat, sizes + [len(e) for e in ends])
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """The numbers of distinct words, new ones learned."""
+        at = list(map(self.known.get, words))
+        if None in at:
+            new = {w for w, number in zip(words, at) if number is None}
+            if len(self.known) + 2 * len(new) > WORDS_KEPT:
+                self._forget()
+                new = set(words) - self.known.keys()
+            self._learn(new)
+            at = list(map(self.known.get, words))
+        return np.array(at)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [t.split(" ") for t in texts]
-        new = set().union(*pieces) - self.known.keys()
-        if len(self.known) + len(new) > WORDS_KEPT:
-            self.known.clear()
-            new = set().union(*pieces)
-        # A first word has no space before it, so it is encoded as it stands.
-        plain = [w for w in new if w and not w[0].isspace()]
-        self.known.update(dict.fromkeys(new))
-        self.known.update(zip(plain, self._encoded([" " + w for w in plain])))
-        firsts = self._encoded([p[0] for p in pieces])
-        found, known = [], self.known.get
-        for text, words, first in zip(texts, pieces, firsts):
-            ids = list(map(known, words[1:]))
-            packed = b"".join([first, *ids]) if None not in ids else self._encoded([text])[0]
-            found.append(np.frombuffer(packed, "<u4"))
+        if not texts:
+            return []
+        # The first word is encoded as after a line feed, whose id is then dropped.
+        lists = pc.split_pattern(pa.array([f"\n{t}".replace("\n", " \n")[1:] for t in texts], pa.large_string()), " ")
+        coded, offsets = lists.values.dictionary_encode(), lists.offsets.to_numpy()
+        distinct = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string()))
+        numbers, codes = self._numbers(pc.binary_join(distinct, " ")[0].as_py().split(" ")), coded.indices.to_numpy()
+        self.uses[numbers] += np.bincount(codes, minlength=len(numbers))
+        starts, sizes = self.starts[numbers], self.sizes[numbers]
+        ids = self.flat[_ranges(starts[codes], sizes[codes])]
+        ends = np.concatenate(([0], np.cumsum(sizes[codes])))[offsets]
+        # A word without ids is none, or holds white space.
+        whole = np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(sizes[codes] == 0)))[offsets]))
+        found = [ids[a + 1 : z] for a, z in zip(ends[:-1], ends[1:])]
+        for i, own in zip(whole, self._encoded([texts[i] for i in whole])):
+            found[i] = own
         return found
 
 
@@ -195,8 +265,8 @@ def write_token_files(
 ) -> DataFrame:
     """Writes the documents' ids under ``folder`` and returns the manifest ``path, start, n_ids, n_docs``.
 
-    Documents go out in ascending ``doc_id`` (null first, repeated ids by text),
-    one or more files per range of ids. A task names its files anew in each
+    Documents go out in ascending ``doc_id`` (null first, repeated ids by text, so
+    that an id of many texts is spread over tasks), one or more files per range. A task names its files anew in each
     attempt, and only files of finished tasks are in the manifest, so a lost
     executor leaves no half file among them. ``start`` counts the ids in all
     files before. Null and empty texts have the end id alone.
@@ -220,7 +290,8 @@ def write_token_files(
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "number", "path", "n_ids", "n_docs"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    folder = qualified(docs.sparkSession, folder)
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     files = cut(ordered.mapInArrow(write, "part long, number long, path string, n_ids long, n_docs long"))
     # One row per file, so a running sum in one task stays small.
     before = F.sum("n_ids").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1))
