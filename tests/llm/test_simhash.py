@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from tidelog.llm.components import Forest, connected_components
-from tidelog.llm.simhash import fingerprint, simhash_groups
+from tidelog.llm.simhash import fingerprint, simhash_groups, without_near_copies
 
 WORDS = ["alpha", "Beta", "gamma", "DELTA", "épsilon", "zeta", "eta", "theta", "iota", "kappa"]
 
@@ -51,6 +51,44 @@ def test_groups_equal_brute_force(spark, rows, tile_rows):
     assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == plain_groups(rows)
 
 
+def plain_single(rows, key):
+    """Of each group of near copies the row that comes first by ``key``, and whatever is equal to none of the rest."""
+    fps = [plain_fingerprint(r[1]) for r in rows]
+    left, found = set(range(len(rows))), []
+    while left:
+        group, more = set(), {next(iter(left))}
+        while more:
+            group |= more
+            more = {j for j in left - group if any((fps[i] ^ fps[j]).bit_count() <= 3 for i in more)}
+        left -= group
+        found.append(min((rows[i] for i in group), key=key))
+    return found
+
+
+def test_one_row_of_each_group_stays(spark, rows):
+    schema = "doc_id long, text string, row int, digest string"
+    given = [(d, t, 1, "x") for d, t in rows]
+    first, second = given[0], given[1]
+    # Two texts under one id, a copy of the second under another, one row thrice, and equal copies that differ in a column.
+    given += [(first[0], second[1], 1, "x"), (90_000, second[1], 1, "x"), given[2], given[2], (70_000, "some very own words in here", 1, "b"), (70_000, "some very own words in here", 2, "a")]
+    df = spark.createDataFrame(given, schema)
+    digest = {tuple(r)[:4]: r["h"] for r in df.selectExpr("*", "xxhash64(doc_id, text, row, digest) AS h").collect()}
+    want = plain_single(given, lambda r: (r[0] is None, r[0] or 0, digest[r]))
+    kept = without_near_copies(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+    other = without_near_copies(spark.createDataFrame(given[::-1], schema).repartition(7))
+    assert sorted(map(tuple, other.collect()), key=str) == sorted(want, key=str)
+    assert without_near_copies(df.limit(0)).count() == 0
+
+
+def test_no_text_is_lost(spark):
+    """A row goes only if one of its own group stays, even if ids name several texts."""
+    a, b = "alpha beta gamma delta " * 9, "one two three four five six " * 7
+    df = spark.createDataFrame([(1, a), (1, b), (2, b)], "doc_id long, text string")
+    assert sorted(map(tuple, without_near_copies(df).collect())) == [(1, a), (1, b)]
+
+
 def test_fingerprints_in_pieces(monkeypatch):
     text = " ".join(np.random.default_rng(1).choice(WORDS, 500))
     whole = fingerprint(text)

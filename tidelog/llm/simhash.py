@@ -7,10 +7,10 @@ from itertools import accumulate, product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import cut, slices
+from tidelog.llm.common import cut, lookup, slices
 from tidelog.llm.components import Forest, connected_components
 
 RADIUS = 3
@@ -49,16 +49,22 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``doc_id, fp`` of every row; ``fp`` holds the 64 bits of the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3, digest: bool = False) -> DataFrame:
+    """``doc_id, fp`` of every row; ``fp`` holds the 64 bits of the fingerprint as a signed long. With ``digest`` also a hash of the whole row."""
+    keys = ["doc_id", "digest"] if digest else ["doc_id"]
 
     def run(batches):
         for part in slices(batches, "text"):
             found = np.array([fingerprint(t, width) for t in part.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], pa.array(found.view(np.int64))], [*keys, "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    columns = {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")} | ({"digest": row_digest(docs)} if digest else {})
+    rows = docs.select(*[column.alias(name) for name, column in columns.items()])
+    return rows.mapInArrow(run, ", ".join(f"{k} long" for k in [*keys, "fp"]))
+
+
+def row_digest(docs: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _populations(fps: np.ndarray) -> np.ndarray:
@@ -156,6 +162,13 @@ def simhash_links(distinct: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     return dealt.groupBy("tile").applyInArrow(_compare, "a long, b long")
 
 
+def _rooted(classes: DataFrame, tile_rows: int) -> DataFrame:
+    """``classes`` (one row per ``fp``) with the ``root`` of each fingerprint's component."""
+    found = connected_components(simhash_links(classes.select("fp"), tile_rows), "a", "b")
+    joined = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    return cut(joined.withColumn("root", F.coalesce("root", "fp")))
+
+
 def simhash_groups(docs: DataFrame, width: int = 3, tile_rows: int = TILE_ROWS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``docs`` (``doc_id``, ``text``; other columns are ignored).
 
@@ -166,12 +179,34 @@ def simhash_groups(docs: DataFrame, width: int = 3, tile_rows: int = TILE_ROWS)
     has a null one); repeated rows are returned as often as they come.
     """
     rows = cut(fingerprints(docs, width))
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = connected_components(simhash_links(classes.select("fp"), tile_rows), "a", "b")
-    rooted = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    rooted = cut(rooted)
+    rooted = _rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), tile_rows)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_copies(docs: DataFrame, width: int = 3, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """One row of each group of ``simhash_groups``: the one with the smallest ``doc_id`` (null last; of equal ids by a hash of the row).
+
+    Rows are told apart by id and content, not by id alone, so of two texts
+    under one id each stays unless a row with its own fingerprint group does.
+    Of rows equal in every column one stays. The result does not depend on the
+    order of the rows. Only the keys of rows that go (and of repeated ones) are
+    joined with the documents, so texts are shuffled only where these are many.
+    """
+    rows = cut(fingerprints(docs, width, digest=True))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    rooted = _rooted(rows.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")), tile_rows)
+    groups = rooted.groupBy("root").agg(F.min("least").alias("first"), F.sum("n").alias("n")).where("n > 1").select("root", "first")
+    shared = lookup(cut(rooted.join(groups, "root").select("fp", "first")))
+    stays = key.eqNullSafe(F.col("first"))
+    members = rows.join(shared, "fp").groupBy("doc_id", "digest").agg(F.first(stays).alias("stays"), F.count("*").alias("n"))
+    moved = lookup(cut(members.where("NOT stays OR n > 1")))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), row_digest(docs).alias("digest")).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.digest") == F.col("m.digest"))
+    kept = own.join(moved.alias("m"), same, "left_anti").select("row.*")
+    repeated = moved.where("stays")
+    if repeated.limit(1).count():
+        again = own.join(lookup(repeated).alias("m"), same, "left_semi").dropDuplicates(["doc_id", "digest"])
+        kept = kept.unionByName(again.select("row.*"))
+    return kept
