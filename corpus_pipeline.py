@@ -11,10 +11,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import boilerplate, byte_bpe, contamination, language, near_copies
-from tidelog.llm.common import cut, held_out, lookup, read_table
+from tidelog.llm import boilerplate, byte_bpe, contamination, language, simhash
+from tidelog.llm.common import cut, held_out, read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+SHINGLE_WORDS = 3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +34,8 @@ def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id (one row of it); rows without an id stay, nothing names them."""
-    groups = near_copies.near_copy_groups(docs)
-    kept = lookup(cut(groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()))
-    return docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    """One document of each SimHash group (three-word shingles, three bits): the smallest id, a null id last."""
+    return simhash.without_near_copies(docs, SHINGLE_WORDS).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
