@@ -13,6 +13,7 @@ from check import normal
 from tests.llm.test_boilerplate import plain as plain_lines
 from tests.llm.test_contamination import plain as plain_pairs
 from tests.llm.test_simhash import plain_single
+from tidelog.llm.boilerplate import SITES
 from tidelog.llm.byte_bpe import Codec
 from tidelog.llm.queries import ORACLE, QUERIES
 
@@ -53,7 +54,7 @@ def test_stages_equal_plain_versions(spark):
     assert found.where("lang IS NULL").count() == 0
 
     lines = pipeline.remove_boilerplate(spark, found, SF)
-    want = {(d, t) for d, t, _, gone in plain_lines(kept, 10) if t.strip() or not gone}
+    want = {(d, t) for d, t, _, gone in plain_lines(kept, SITES) if t.strip() or not gone}
     got = rows(lines)
     assert {(str(d), t) for d, t, _ in got} == want
     assert lines.where("n_chars <> length(text)").count() == 0
