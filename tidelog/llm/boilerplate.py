@@ -61,7 +61,7 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES, site: str = "source
     lines = site_lines(docs.select("doc_id", F.col(site).cast("string").alias("source"), "text"))
     known = lookup(boilerplate_lines(lines, sites))
     hits = lines.join(known, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    gone = lookup(cut(hits.groupBy("doc_id", "digest").agg(F.collect_set("at").alias("gone"))))
+    gone = lookup(cut(hits.groupBy("doc_id", "digest").agg(F.collect_set("at").alias("gone"))), "gone")
     own = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("digest")).alias("d")
     g = gone.alias("g")
     joined = own.join(g, F.col("d.row.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.digest") == F.col("g.digest")), "left")

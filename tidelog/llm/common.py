@@ -16,10 +16,10 @@ from tidelog.session import shared_dir
 SLICE_BYTES = 4 << 20
 # The same where each word of a text takes a row of numbers.
 WORD_SLICE_BYTES = 1 << 20
-# Rows up to which a lookup side is hinted as a broadcast. The sides in question
-# hold a few numbers or a short list of them per row, some 30 MB at most; beyond
-# it Spark joins by a shuffle.
-LOOKUP_ROWS = 200_000
+# Rows up to which a lookup side is hinted as a broadcast, and numbers in their
+# lists: some 30 MB. The sides in question hold a few numbers or a list of them
+# per row; beyond it Spark joins by a shuffle.
+LOOKUP_ROWS, LOOKUP_VALUES = 200_000, 4_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def lookup(df: DataFrame) -> DataFrame:
-    """A side that was cut, hinted as a broadcast if its counted rows are few."""
+def lookup(df: DataFrame, listed: str | None = None) -> DataFrame:
+    """A side that was cut, hinted as a broadcast if its counted rows, and the values in its column ``listed`` of lists, are few."""
+    if listed:
+        rows, values = df.agg(F.count("*"), F.coalesce(F.sum(F.size(listed)), F.lit(0))).first()
+        return F.broadcast(df) if rows <= LOOKUP_ROWS and values <= LOOKUP_VALUES else df
     return F.broadcast(df) if df.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS else df
 
 
