@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -132,9 +133,13 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUN
     text has none. Null and repeated doc_ids are kept row by row. Texts beyond
     ``chunk`` characters are dealt over tasks in overlapping chunks.
     """
+    short, long = _split_by_length(docs, chunk)
+    return _encode_rows(short, path, pattern).unionByName(_encode_long(long, path, pattern, chunk, overlap))
+
+
+def _split_by_length(docs: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    long = F.length("text") > chunk
-    return _encode_rows(rows.where(~long), path, pattern).unionByName(_encode_long(rows.where(long), path, pattern, chunk, overlap))
+    return rows.where(F.length("text") <= chunk), rows.where(F.length("text") > chunk)
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -149,10 +154,28 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(run, f"{kinds}, decoded binary")
 
 
-def token_digests(docs: DataFrame, path: str, pattern: str, **options) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: the documents encoded, and decoded again."""
-    both = decode_documents(encode_documents(docs, path, pattern, **options), path, pattern)
-    return both.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+def token_digests(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: the documents encoded, and decoded again.
+
+    Rows as in ``encode_documents``. A text of up to ``chunk`` characters is
+    encoded, decoded and hashed in one pass, so its ids never leave the worker.
+    """
+
+    def run(batches):
+        for part in slices(batches, "text"):
+            found = []
+            for text in part.column("text").to_pylist():
+                ids = codec(path, pattern).encode(text)
+                found.append((len(ids) // 4, sha256(ids).hexdigest(), sha256(codec(path, pattern).decode(ids)).hexdigest()))
+            n, ids, decoded = zip(*found)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows, long = _split_by_length(docs, chunk)
+    short = rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    both = decode_documents(_encode_long(long, path, pattern, chunk, overlap), path, pattern)
+    return short.unionByName(
+        both.select(
+            "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+            F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        )
+    )

@@ -87,6 +87,11 @@ class Model:
         at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         return self.kept[0][at], self.kept[1][at]
 
+    def forget(self) -> None:
+        """Drops the remembered words: a worker lives on after its task."""
+        self.__dict__.pop("known", None)
+        self.__dict__.pop("kept", None)
+
     def _scored(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = [_letters(w) for w in words]
         size = np.array([len(p) for p in plain], np.int64)
@@ -242,6 +247,7 @@ def _predicted(rows: DataFrame, model: Model) -> DataFrame:
                 named = [[{"lang": x, "first": a, "words": n} for x, a, n in s] for s in spans]
                 arrays = [part.column("row"), pa.array(langs, pa.string()), pa.array(score), pa.array(named, spans_kind)]
                 yield pa.RecordBatch.from_arrays(arrays, ["row", "lang_pred", "score", "spans"])
+        shared.value.forget()
 
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(run, f"row {kind}, lang_pred string, score double, spans array<struct<lang:string,first:long,words:long>>")
