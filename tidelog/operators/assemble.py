@@ -41,23 +41,29 @@ SPLIT_KEY = ("file_id", "part", "block_start")
 PIECE_SCHEMA = (
     "file_id bigint, part bigint, block_start bigint, piece bigint, is_last boolean, "
     "file_path string, n_lines bigint, bad_lines bigint, wide_lines bigint, n_bytes bigint, "
-    "raw binary"
+    "raw binary, at bigint, problem string"
 )
 
 
 @dataclass(frozen=True)
 class Assembled:
-    """``records``: one row per record. ``splits``: one row per file split."""
+    """``records``: one row per record. ``splits``: one row per file split. ``pieces``: its records before they are joined."""
 
     records: DataFrame
     splits: DataFrame
-    staged: tuple[str, ...]  # folders the two frames read from
+    pieces: DataFrame
+    staged: tuple[str, ...]  # folders the frames read from
 
 
 def marked_lines(lines: DataFrame, header: str = HEADER) -> DataFrame:
-    """Flag header lines and lines that are not valid (or not plain) UTF-8."""
+    """Flag header lines and lines that are not valid (or not plain) UTF-8.
+
+    ``at`` (the byte a line begins at) and ``problem`` (why a file could not be
+    read) are null for a source that does not give them.
+    """
     value = F.rtrim(F.col("value"), F.lit("\r"))
     is_header = value.rlike(header)
+    given = lambda name, kind: (F.col(name) if name in lines.columns else F.lit(None)).cast(kind).alias(name)
     return lines.select(
         "file_id",
         "part",
@@ -67,6 +73,8 @@ def marked_lines(lines: DataFrame, header: str = HEADER) -> DataFrame:
         (~F.is_valid_utf8(value)).alias("bad"),
         (F.is_valid_utf8(value) & (F.length(value) != F.octet_length(value))).alias("wide"),
         value.cast("binary").alias("raw"),
+        given("at", "bigint"),
+        given("problem", "string"),
     )
 
 
@@ -92,10 +100,23 @@ def _joined(rows: pa.Table, starts: np.ndarray, numbers: np.ndarray, last: np.nd
         "wide_lines": total("wide"),
         "n_bytes": pc.binary_length(text).cast(pa.int64()),
         "raw": text,
+        "at": firsts.column("at") if "at" in rows.column_names else pa.nulls(len(starts), pa.int64()),
+        "problem": _first_problems(rows, starts),
     }
     return pa.table(columns).combine_chunks().to_batches()[0]
 
 
+def _first_problems(rows: pa.Table, starts: np.ndarray) -> pa.Array:
+    """The first problem among the lines of each piece; hardly ever there is one."""
+    if "problem" not in rows.column_names or rows.column("problem").null_count == rows.num_rows:
+        return pa.nulls(len(starts), pa.string())
+    problems = rows.column("problem").combine_chunks()
+    found: list[str | None] = [None] * len(starts)
+    for line in np.flatnonzero(problems.is_valid().to_numpy(zero_copy_only=False))[::-1]:
+        found[int(np.searchsorted(starts, line, side="right")) - 1] = problems[int(line)].as_py()
+    return pa.array(found, pa.string())
+
+
 def to_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Join the lines of each record of a split with line feeds (Arrow only).
 
@@ -155,7 +176,7 @@ def text_of(raw: Column, codepage: Column) -> Column:
 
 
 def split_table(
-    pieces: DataFrame, encoding: str, codepage: str, facts: dict[str, Column] | None = None
+    pieces: DataFrame, encoding: str, codepage: str, facts: dict[str, Column] | None = None, votes: DataFrame | None = None
 ) -> DataFrame:
     """Per split: header count, ordinal offset, line count, and file encoding.
 
@@ -163,7 +184,9 @@ def split_table(
     rather than once per record later.
 
     The encoding is a vote of the file's non-ASCII lines: more of them broken
-    than valid as UTF-8 means the file is in the single-byte code page.
+    than valid as UTF-8 means the file is in the single-byte code page. ``votes``
+    (``file_id, bad_before, wide_before``) are those of lines read in an earlier
+    run. ``last_at`` is where the last record of a split begins.
     """
     per_split = pieces.groupBy(*SPLIT_KEY).agg(
         F.max("piece").alias("n_headers"),
@@ -172,11 +195,17 @@ def split_table(
         F.sum("wide_lines").alias("wide_lines"),
         F.min("file_path").alias("low_path"),
         F.max("file_path").alias("high_path"),
+        F.max(F.when(F.col("piece") > 0, F.col("at"))).alias("last_at"),
+        F.min("problem").alias("problem"),
     )
+    if votes is not None:
+        per_split = per_split.join(votes, "file_id", "left")
+    earlier = lambda name: F.coalesce(F.max(name).over(whole), F.lit(0)) if votes is not None else F.lit(0)
     whole = Window.partitionBy("file_id")
     before = whole.orderBy("part", "block_start").rowsBetween(Window.unboundedPreceding, -1)
     if encoding == "auto":
-        single_byte = F.sum("bad_lines").over(whole) > F.sum("wide_lines").over(whole)
+        bad, wide = F.sum("bad_lines").over(whole) + earlier("bad_before"), F.sum("wide_lines").over(whole) + earlier("wide_before")
+        single_byte = bad > wide
         chosen = F.when(single_byte, codepage).otherwise("utf-8")
     else:
         chosen = F.lit(encoding)
@@ -189,6 +218,8 @@ def split_table(
         "n_lines",
         chosen.alias("encoding"),
         F.when(low != high, clash).otherwise(low).alias("file_path"),
+        "last_at",
+        F.min("problem").over(whole).alias("problem"),
     ).withColumns(facts or {})
 
 
@@ -199,6 +230,7 @@ def assemble(
     encoding: str = "auto",
     codepage: str = "cp1251",
     facts: dict[str, Column] | None = None,
+    votes: DataFrame | None = None,
 ) -> Assembled:
     """Records of the journal files in ``lines``.
 
@@ -206,7 +238,8 @@ def assemble(
     within each split. A record row has ``file_id, file_path``, the facts,
     ``event_seq`` (ordinal in its file, from 1), ``n_lines``, ``record``,
     ``oversized`` and ``record_piece``. A record too long for one value has a
-    row for each of its pieces, numbered from 0; together they hold its text.
+    row for each of its pieces, numbered from 0; together they hold its text. A
+    file with a ``problem`` has no records.
     """
     pieces_path = scratch_path(spark, "pieces")
     marked_lines(lines, header).mapInArrow(to_pieces, PIECE_SCHEMA).write.option(
@@ -215,16 +248,16 @@ def assemble(
     pieces = spark.read.parquet(pieces_path)
 
     splits_path = scratch_path(spark, "splits")
-    split_table(pieces, encoding, codepage, facts).write.parquet(splits_path)
+    split_table(pieces, encoding, codepage, facts, votes).write.parquet(splits_path)
     splits = spark.read.parquet(splits_path)
 
     records = number_records(pieces, splits, list(facts or {}))
-    return Assembled(records, splits, (pieces_path, splits_path))
+    return Assembled(records, splits, pieces, (pieces_path, splits_path))
 
 
 def number_records(pieces: DataFrame, splits: DataFrame, facts: list[str]) -> DataFrame:
     """Give every piece its ordinal and merge the pieces at split borders."""
-    lookup = splits.select(*SPLIT_KEY, "offset", "encoding", "file_path", *facts)
+    lookup = splits.where(F.col("problem").isNull()).select(*SPLIT_KEY, "offset", "encoding", "file_path", *facts)
     if splits.count() <= BROADCAST_ROWS:
         lookup = F.broadcast(lookup)
     about_file = ["file_id", "file_path", *facts]

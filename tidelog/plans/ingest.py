@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -14,11 +15,12 @@ from tidelog.operators.parse import events_of, file_facts, parse_records, reject
 from tidelog.session import drop_path, path_exists, scratch_path
 from tidelog.operators.filters import check_interval
 from tidelog.sources.files import Layout, hour_stems, list_files, read_lines
+from tidelog.sources.ranges import Opener, file_ranges, open_file, read_ranges, stored_files
 from tidelog.sources.store import EventStore
 
 STATS_SCHEMA = (
     "file_path string, directory_name string, source_file string, file_size bigint, "
-    "lines bigint, events bigint, errors bigint, status string"
+    "lines bigint, events bigint, errors bigint, status string, message string"
 )
 
 
@@ -49,15 +51,20 @@ def parse_lines(
     encoding: str = "auto",
     codepage: str = "cp1251",
     include_exception: bool = False,
+    votes: DataFrame | None = None,
+    chosen: Callable[[Assembled], DataFrame] | None = None,
 ) -> Load:
     """Parse lines of journal files.
 
+    ``votes`` are encoding votes of an earlier run (see ``split_table``);
+    ``chosen`` picks and numbers the records to parse out of the assembled ones.
+
     The parsed rows are written to the shared folder once: events, rejects and
     stats are all taken from them, and filters on the reject reason read a
     stored column instead of repeating the pattern matching.
     """
-    assembled = assemble(spark, lines, encoding=encoding, codepage=codepage, facts=file_facts(layout))
-    parsed = parse_records(assembled.records, start, end, include_exception)
+    assembled = assemble(spark, lines, encoding=encoding, codepage=codepage, facts=file_facts(layout), votes=votes)
+    parsed = parse_records(chosen(assembled) if chosen else assembled.records, start, end, include_exception)
     path = scratch_path(spark, "parsed")
     parsed.write.option("compression", "zstd").parquet(path)
     parsed = spark.read.parquet(path)
@@ -71,19 +78,22 @@ def file_stems(start=None, end=None) -> list[str] | None:
 
 
 def parse_files(
-    spark: SparkSession, layout: Layout, session_id: str, loaded_at, start=None, end=None, **options
+    spark: SparkSession, layout: Layout, session_id: str, loaded_at, start=None, end=None, isolate: bool = False, opener: Opener = open_file, **options
 ) -> Load:
-    lines = read_lines(spark, layout, file_stems(start, end))
+    """Parse the files of an interval. With ``isolate`` a file that cannot be read is left out, and the others are loaded."""
+    stems = file_stems(start, end)
+    lines = read_ranges(file_ranges(stored_files(spark, layout, stems)), opener) if isolate else read_lines(spark, layout, stems)
     return parse_lines(spark, lines, layout, session_id, loaded_at, start, end, **options)
 
 
 def load_stats(files: DataFrame, splits: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Per file: directory, size, lines, events, errors and a status.
+    """Per file: directory, size, lines, events, errors, a status and a message.
 
     ``files`` is the listing. A listed file of which no line was read was
-    deleted before the scan reached it.
+    deleted before the scan reached it. A file that could not be read whole has
+    the status and message of its failure and counts nothing.
     """
-    read = splits.groupBy("file_id").agg(F.sum("n_lines").alias("lines"))
+    read = splits.groupBy("file_id").agg(F.sum("n_lines").alias("lines"), F.min("problem").alias("problem"))
     made = parsed.groupBy("file_id").agg(
         F.count_if(F.col("reason").isNull()).alias("events"),
         F.count_if(F.col("reason").isNotNull() & (F.col("record_piece") == 0)).alias("errors"),
@@ -97,21 +107,24 @@ def load_stats(files: DataFrame, splits: DataFrame, parsed: DataFrame) -> DataFr
             "directory_name",
             "source_file",
             "file_size",
-            F.coalesce("lines", zero).alias("lines"),
+            F.when(F.col("problem").isNull(), F.col("lines")).otherwise(zero).alias("lines"),
             F.coalesce("events", zero).alias("events"),
             F.coalesce("errors", zero).alias("errors"),
+            "problem",
             (F.col("lines").isNull() & (F.col("file_size") > 0)).alias("unread"),
         )
     )
+    failure = F.substring_index("problem", ": ", 1)
     status = (
-        F.when(F.col("unread"), "deleted").when(F.col("events") > 0, "completed").otherwise("empty")
+        F.when(F.col("problem").isNotNull(), failure).when(F.col("unread"), "deleted").when(F.col("events") > 0, "completed").otherwise("empty")
     )
-    return counted.withColumn("status", status).drop("unread")
+    message = F.substr("problem", F.length(failure) + 3)
+    return counted.withColumns({"status": status, "message": message, "lines": F.coalesce("lines", zero)}).drop("unread", "problem")
 
 
 def session_totals(stats: DataFrame) -> DataFrame:
     """Totals of a load: files, processed files, events, progress percent."""
-    done = F.count_if(F.col("status") != "deleted")
+    done = F.count_if(F.col("status").isin("completed", "empty"))
     return stats.agg(
         F.count(F.lit(1)).alias("total_files"),
         done.alias("processed_files"),
@@ -136,14 +149,16 @@ def ingest(
     """Parse files into the event table under a session; returns the load stats.
 
     The interval is checked first. A root that does not exist (an unmounted
-    share, a mistyped name) has no rows and leaves a stored session as it is.
+    share, a mistyped name) has no rows and leaves a stored session as it is. A
+    file that cannot be read is a row of the stats with its failure
+    (``isolate=False``: an error that ends the load).
     The staged folders are removed once the events and the stats are stored.
     """
     if start is not None and end is not None:
         check_interval(start, end)
     if not path_exists(spark, layout.root):
         return spark.createDataFrame([], STATS_SCHEMA)
-    load = parse_files(spark, layout, session_id, loaded_at, start, end, **options)
+    load = parse_files(spark, layout, session_id, loaded_at, start, end, **{"isolate": True, **options})
     store.replace_session(session_id, load.events)
     files = list_files(spark, layout, file_stems(start, end))
     path = scratch_path(spark, "load-stats")

@@ -109,8 +109,8 @@ def list_files(spark: SparkSession, layout: Layout, stems: list[str] | None = No
     )
     names = spark.createDataFrame([(uri,) for uri in listing.inputFiles()], "uri string")
     sizes = listing.select(local_path(F.col("_metadata.file_path")).alias("path"), "length")
-    found = names.select(_short_scheme(local_path(F.col("uri"))).alias("path")).join(
-        sizes.withColumn("path", _short_scheme(F.col("path"))), "path", "left"
+    found = names.select(short_scheme(local_path(F.col("uri"))).alias("path")).join(
+        sizes.withColumn("path", short_scheme(F.col("path"))), "path", "left"
     )
     key = layout.file_key(F.col("path"))
     return (
@@ -122,7 +122,7 @@ def list_files(spark: SparkSession, layout: Layout, stems: list[str] | None = No
     )
 
 
-def _short_scheme(path: Column) -> Column:
+def short_scheme(path: Column) -> Column:
     """``file:/x`` for ``file:///x``: both forms name one local file."""
     return F.regexp_replace(path, r"^file:/+", "file:/")
 

@@ -15,7 +15,7 @@ from tidelog.sources.store import EventStore, glob_literal, partition_value
 
 _TEXTS, _NUMBERS = ("session_id", "file_path", "directory_name", "source_file"), ("file_size", "lines", "events", "errors")
 FILE_SCHEMA = T.StructType(
-    [*(T.StructField(n, T.StringType()) for n in _TEXTS), *(T.StructField(n, T.LongType()) for n in _NUMBERS), T.StructField("status", T.StringType())]
+    [*(T.StructField(n, T.StringType()) for n in _TEXTS), *(T.StructField(n, T.LongType()) for n in _NUMBERS), T.StructField("status", T.StringType()), T.StructField("message", T.StringType())]
 )
 
 
