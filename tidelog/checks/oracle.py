@@ -371,7 +371,7 @@ SELECT s.session_id, s.status, s.total_files, f.directory_name, f.source_file, e
 SELECT s.session_id, s.status, s.total_files, f.directory_name, f.source_file, events FROM sessions_v s LEFT JOIN f USING (session_id)""",
     "stored_cascade": f"""{JOURNAL} SELECT session_id, count(DISTINCT (directory_name, source_file)) AS total_files,
   count(DISTINCT (directory_name, source_file)) AS files, count(*) AS events
-FROM journal WHERE event_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-08' GROUP BY 1""",
+FROM journal WHERE event_date >= DATE '2024-01-05' GROUP BY 1""",
     "delete_sessions": f"""{SESSIONS} SELECT session_id, count(*) AS cnt FROM journal WHERE session_id NOT IN
   (SELECT session_id FROM sessions_v WHERE start_date < TIMESTAMP '2024-01-08') GROUP BY 1""",
     "retention_90d": f"{JOURNAL} SELECT event_date, count(*) AS cnt FROM journal "
@@ -392,14 +392,22 @@ SELECT *, CASE WHEN events > 0 THEN 'completed' ELSE 'empty' END AS status FROM
     "ingest_totals": f"""{JOURNAL} SELECT count(DISTINCT (directory_name, source_file)) AS total_files,
   count(DISTINCT (directory_name, source_file)) AS processed_files,
   count(*) FILTER (NOT {DAMAGED}) AS total_events, CAST(100 AS DOUBLE) AS progress_percent FROM journal""",
+    "ingest_failures": f"""{JOURNAL}, f AS (SELECT directory_name, source_file, CAST(sum({LINES}) AS BIGINT) AS n, count(*) AS cnt,
+  CASE WHEN directory_name = 'ib1' AND source_file = '24011006.log' THEN 'permission_error'
+       WHEN directory_name = 'ib2' AND source_file = '24011007.log' THEN 'error' ELSE 'completed' END AS status FROM journal GROUP BY 1, 2)
+SELECT directory_name, source_file, CASE WHEN status = 'completed' THEN n ELSE 0 END AS lines,
+  CASE WHEN status = 'completed' THEN cnt ELSE 0 END AS events, CAST(0 AS BIGINT) AS errors, status FROM f""",
     "alt_layout_roundtrip": f"""{JOURNAL} SELECT date_trunc('second', "timestamp") AS "timestamp", directory_name,
   source_file, line_number, event_name, CAST(level AS BIGINT) AS level, duration_ms, usr AS user_name,
   tableName AS table_name, {FLAT.format('context')} AS context, {FLAT.format('sql')} AS sql_query, sdbl, exception,
   coalesce(CAST(mssql_error_code AS VARCHAR), '') AS sql_error_code, locks, CAST(0 AS BIGINT) AS rows,
   CAST(0 AS BIGINT) AS rows_affected, severity, category FROM journal""",
     "stream_ingest": ALL_EVENTS,
+    "stream_growing": ALL_EVENTS,
     "stream_stats": f"""{JOURNAL} SELECT directory_name, source_file, CAST(sum({LINES}) AS BIGINT) AS lines,
   count(*) AS events, CAST(0 AS BIGINT) AS errors FROM journal GROUP BY 1, 2""",
-    "footprint": f"""{SESSIONS} SELECT session_id, total_events, start_date, end_date, true AS is_stored, true AS mb_agrees
-FROM sessions_v""",
+    "footprint": f"""{SESSIONS}, sizes AS (SELECT session_id, count(DISTINCT (directory_name, source_file)) AS n_files,
+  CAST(sum(strlen({rejected_text()}) + 1) AS BIGINT) AS n_bytes FROM journal GROUP BY 1)
+SELECT session_id, total_events, start_date, end_date, n_files, n_bytes, round(n_bytes / 1048576.0::DOUBLE, 2) AS size_mb
+FROM sessions_v LEFT JOIN sizes USING (session_id)""",
 }

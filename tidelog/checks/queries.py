@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,14 +14,16 @@ from tidelog.operators.paging import after_row, event_order, take_slice
 from tidelog.plans import analysis, facets, report, search, sessions
 from tidelog.plans.ingest import Load, load_stats, parse_files, session_totals
 from tidelog.schema import EVENT_COLUMNS, EXPORT_HEADERS
-from tidelog.session import scratch_path
+from tidelog.session import qualified, scratch_path
 from tidelog.sources.export import export_rows, write_csv
 from tidelog.sources.files import Layout, list_files, read_lines
-from tidelog.sources.journal_view import LOADED_AT, stored_journal, stored_journal_path
+from tidelog.sources.journal_view import LOADED_AT, stored_journal
+from tidelog.sources.ranges import open_file, stored_files
 from tidelog.sources.render import alternative_text, clock_text, record_text, write_files
 from tidelog.sources.session_store import SessionStore
 from tidelog.sources.store import EventStore, footprint, retained
 from tidelog.streaming.follow import follow
+from tidelog.streaming.resume import Ledger, resume
 
 AS_OF = "2024-02-01 00:00:00"
 PAGE_FILTER = EventFilter(
@@ -129,8 +132,8 @@ def stored_session_files(spark, sf_dir):
 
 
 def stored_cascade(spark, sf_dir):
-    """``cascade`` over the first eight days only, the days of its SQL counterpart."""
-    return cascade(spark, journal(spark, sf_dir).where(F.col("event_date") < F.lit(date(2024, 1, 9))))
+    """``cascade`` over the whole journal."""
+    return cascade(spark, journal(spark, sf_dir))
 
 
 def cascade(spark, rows):
@@ -155,23 +158,12 @@ def delete_sessions(spark, sf_dir):
     return kept.groupBy("session_id").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def with_read_sizes(sizes, stored):
-    """Footprint with ``read_files, read_bytes`` of the files that the stored rows of a session come from."""
-    files = stored.select("session_id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).distinct()
-    read = files.groupBy("session_id").agg(F.count(F.lit(1)).alias("read_files"), F.sum("bytes").alias("read_bytes"))
-    return sizes.join(read, "session_id", "full")
-
-
-def stored_sizes(spark, sf_dir):
-    path = stored_journal_path(spark, sf_dir)
-    sizes = with_read_sizes(footprint(spark, path), spark.read.parquet(path))
+def source_sizes(spark, sf_dir):
+    """Every session with the size of the log files it was read from."""
+    day = F.concat(F.lit("s_20"), F.substring(F.element_at(F.split("path", "/"), -1), 1, 6))
+    sizes = footprint(spark, rendered(spark, sf_dir, "hours").root, "*.log", day)
     rows = session_rows(spark, sf_dir).select("session_id", "total_events", "start_date", "end_date")
-    # Bytes depend on the writer, so they are compared with those of the files that hold the rows.
-    mb = F.round(F.col("n_bytes") / F.lit(1048576.0), 2)
-    return sessions.with_footprint(rows, sizes).select(
-        "session_id", "total_events", "start_date", "end_date",
-        ((F.col("n_files") == F.col("read_files")) & (F.col("n_bytes") == F.col("read_bytes"))).alias("is_stored"), (F.col("size_mb") == mb).alias("mb_agrees"),
-    )
+    return sessions.with_footprint(rows, sizes)
 
 
 # --- export ----------------------------------------------------------------
@@ -264,6 +256,54 @@ def ingest_totals(spark, sf_dir):
     return session_totals(_stats(spark, sf_dir))
 
 
+def hard_to_read(path: str):
+    """Opens a file, but for the hour 6 of one directory (no permission) and the hour 7 of another (damaged)."""
+    if "/ib1/24011006.log" in path:
+        raise PermissionError(13, "Permission denied", path)
+    if "/ib2/24011007.log" in path:
+        raise OSError(5, "Input/output error", path)
+    return open_file(path)
+
+
+def ingest_failures(spark, sf_dir):
+    """Load stats of the whole journal with files that cannot be read among its files."""
+    layout = rendered(spark, sf_dir, "plain")
+    loaded = parse_files(spark, layout, "all", LOADED_AT, isolate=True, opener=hard_to_read)
+    stats = load_stats(list_files(spark, layout), loaded.assembled.splits, loaded.parsed)
+    return stats.select("directory_name", "source_file", "lines", "events", "errors", "status")
+
+
+def grow_files(spark: SparkSession, source: Layout, target: str, part: int, parts: int) -> None:
+    """The first ``part / parts`` of the bytes of each file, wherever that cuts them, under ``target``."""
+
+    def copy(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = row["path"].replace(source_root, target_root)
+                system, place = pafs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://"))
+                system.create_dir(place.rpartition("/")[0], recursive=True)
+                with open_file(row["path"]) as file, system.open_output_stream(place) as out:
+                    left = row["file_size"] * part // parts
+                    while data := file.read(min(left, 4 << 20)):
+                        out.write(data)
+                        left -= len(data)
+            yield batch.select(["path"])
+
+    source_root, target_root = qualified(spark, source.root), qualified(spark, target)
+    files = stored_files(spark, source)
+    files.repartition(max(1, min(files.count(), 64)), "path").mapInArrow(copy, "path string").write.format("noop").mode("overwrite").save()
+
+
+def stream_growing(spark, sf_dir):
+    """The log files loaded while they grow: a third of each, two thirds, and whole."""
+    store, source = EventStore(spark, scratch_path(spark, "growing-store")), rendered(spark, sf_dir, "hours")
+    target, ledger = scratch_path(spark, "growing"), Ledger(spark, scratch_path(spark, "growing-ledger"))
+    for step in (1, 2, 3):
+        grow_files(spark, source, target, step, 3)
+        resume(spark, Layout(target), store, ledger, "live", LOADED_AT, LOADED_AT if step == 3 else None)
+    return by_day(store.events())
+
+
 def alternative_roundtrip(spark, sf_dir):
     rows = parse_alternative(spark, read_lines(spark, rendered(spark, sf_dir, "alternative")))
     return rows.where(F.col("ok")).select(
@@ -403,7 +443,7 @@ QUERIES = {
     "stored_session_files": stored_session_files,
     "stored_cascade": stored_cascade,
     "delete_sessions": delete_sessions,
-    "footprint": stored_sizes,
+    "footprint": source_sizes,
     # storage and export
     "retention_90d": on_journal(
         lambda j: retained(j, date(2024, 4, 10)).groupBy("event_date").agg(F.count(F.lit(1)).alias("cnt"))
@@ -417,7 +457,9 @@ QUERIES = {
     "ingest_rejects": ingest_rejects,
     "ingest_load_stats": ingest_load_stats,
     "ingest_totals": ingest_totals,
+    "ingest_failures": ingest_failures,
     "alt_layout_roundtrip": alternative_roundtrip,
     "stream_ingest": stream_ingest,
     "stream_stats": stream_stats,
+    "stream_growing": stream_growing,
 }

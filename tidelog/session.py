@@ -84,3 +84,29 @@ def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
     """Paths that match a glob pattern (for folder names, not for data files)."""
     fs, target = _file_system(spark, pattern)
     return [str(status.getPath().toString()) for status in fs.globStatus(target) or []]
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    fs, target = _file_system(spark, path)
+    stream = fs.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file that is not there yet; False if somebody else made it first."""
+    fs, target = _file_system(spark, path)
+    hidden = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+    stream = fs.create(hidden, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    # The whole file appears under its name at once. A rename onto a name that is taken fails.
+    done = not fs.exists(target) and fs.rename(hidden, target)
+    if not done:
+        fs.delete(hidden, False)
+    return bool(done)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +13,7 @@ from tidelog.functions.times import ntz
 from tidelog.operators.filters import check_interval
 from tidelog.plans.ingest import session_totals
 from tidelog.schema import SESSION_SCHEMA
-from tidelog.session import drop_path, matching_paths, path_exists
+from tidelog.session import create_text, drop_path, matching_paths, path_exists, read_text
 from tidelog.sources.store import EventStore, glob_literal, partition_value
 
 _TEXTS, _NUMBERS = ("session_id", "file_path", "directory_name", "source_file"), ("file_size", "lines", "events", "errors")
@@ -25,12 +28,14 @@ class SessionStore:
     A row is replaced by a dynamic overwrite of its partition, which Spark
     exchanges when the write has ended well, so readers see the old or the new
     row. Deleting a session takes its files, and its events if the event store
-    is given.
+    is given. A note of what is to go is written first: from then on the session
+    is not shown, and a store that is opened later ends a deletion that broke off.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
+        self.recover()
 
     def sessions(self) -> DataFrame:
         return self._read("sessions", SESSION_SCHEMA)
@@ -74,9 +79,27 @@ class SessionStore:
 
     def delete(self, session_id: str, events: EventStore | None = None) -> bool:
         """Drop a session with its files and events; whether there was one."""
-        gone = [drop_path(self.spark, folder) for table in ("files", "sessions") for folder in self._folders(table, session_id)]
-        if events:
-            gone.append(events.delete_session(session_id))
+        note = {"session_id": session_id, "events": events.path if events else None}
+        name = hashlib.sha256(json.dumps(note).encode()).hexdigest()
+        create_text(self.spark, f"{self.path}/deleting/{name}.json", json.dumps(note))
+        return self._take_out(note, f"{self.path}/deleting/{name}.json")
+
+    def recover(self) -> list[str]:
+        """Ends the deletions that broke off; returns their sessions."""
+        notes = [(json.loads(read_text(self.spark, path)), path) for path in self._notes()]
+        for note, path in notes:
+            self._take_out(note, path)
+        return [note["session_id"] for note, _ in notes]
+
+    def _notes(self) -> list[str]:
+        return matching_paths(self.spark, f"{glob_literal(self.path)}/deleting/*.json")
+
+    def _take_out(self, note: dict, path: str) -> bool:
+        """All that a note names goes, the note itself last. Each step can be repeated."""
+        session_id = note["session_id"]
+        gone = [EventStore(self.spark, note["events"]).delete_session(session_id)] if note["events"] else []
+        gone += [drop_path(self.spark, folder) for table in ("files", "sessions") for folder in self._folders(table, session_id)]
+        drop_path(self.spark, path)
         return any(gone)
 
     def _one(self, **columns: Column) -> DataFrame:
@@ -97,7 +120,10 @@ class SessionStore:
     def _read(self, table: str, schema: T.StructType) -> DataFrame:
         if not path_exists(self.spark, f"{self.path}/{table}"):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}").select(*schema.fieldNames())
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{table}").select(*schema.fieldNames())
+        # Deletions at work: a few at most.
+        going = [json.loads(read_text(self.spark, path))["session_id"] for path in self._notes()]
+        return rows.where(~F.col("session_id").isin(going)) if going else rows
 
     def _write(self, rows: DataFrame, table: str) -> None:
         writer = rows.repartition("session_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
