@@ -23,28 +23,122 @@ BLOCKS = {
 SILENT = {"script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "math", "textarea", "title", "head"}
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "template", "svg"}
 ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "fieldset"}
+# Elements that are kept open while their content is read, and those of them that end one of their own kind.
+CONTAINERS = (BLOCKS | ASIDE | {"head"}) - {"p", "hr"}
+REPEATED = {"li", "dt", "dd", "option", "tr", "td", "th"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-# Parts of class, id and role names that mark page furniture, and the article (fixed values).
-FURNITURE = {
-    "ad", "ads", "advert", "advertisement", "banner", "sponsor", "sponsored", "promo", "nav", "navbar", "navigation", "menu", "breadcrumb",
-    "breadcrumbs", "footer", "sidebar", "side", "aside", "widget", "related", "recommended", "share", "social", "cookie", "cookies",
-    "consent", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "search", "comment",
-    "comments", "reply", "replies", "disqus", "masthead", "toolbar", "pagination", "pager", "form", "complementary", "contentinfo", "gdpr",
-    "disclaimer", "copyright", "tags", "skip",
+# Names of classes, ids and roles that mark page furniture (fixed values). A name is split at hyphens and underscores. A plain
+# mark counts if it begins or ends the name; a weak one only if all other parts are marks or words of layout too.
+PLAIN_MARKS = {
+    "ad", "ads", "advert", "adverts", "advertisement", "banner", "sponsor", "sponsored", "promo", "nav", "navbar", "navigation", "menu",
+    "breadcrumb", "breadcrumbs", "footer", "sidebar", "widget", "cookie", "cookies", "consent", "popup", "modal", "newsletter", "subscribe",
+    "signup", "login", "comments", "disqus", "masthead", "toolbar", "pagination", "pager", "gdpr", "complementary", "contentinfo",
 }
-HEADERS = {"header", "heading-bar", "topbar", "site-header", "page-header"}
+WEAK_MARKS = {
+    "side", "aside", "related", "recommended", "share", "social", "notice", "notices", "alert", "overlay", "search", "comment", "reply",
+    "replies", "form", "disclaimer", "copyright", "tags", "skip", "header", "topbar",
+}
+LAYOUT = {"box", "bar", "list", "block", "area", "section", "container", "wrapper", "wrap", "item", "link", "links", "button", "buttons", "site", "page", "top", "bottom", "left", "right", "inner", "outer"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"\S+")
 
 
-def _marked(attributes: str) -> bool:
-    for names in _NAMES.findall(attributes):
-        parts = re.split(r"[\s_\-\"']+", names.lower())
-        if not FURNITURE.isdisjoint(parts) or not HEADERS.isdisjoint(parts):
-            return True
-    return False
+def _names_furniture(name: str) -> bool:
+    parts = [p for p in re.split(r"[-_]+", name) if p]
+    known = PLAIN_MARKS | WEAK_MARKS
+    return bool(parts) and (parts[0] in PLAIN_MARKS or parts[-1] in PLAIN_MARKS or (not known.isdisjoint(parts) and set(parts) <= known | LAYOUT))
+
+
+def marks(attributes: str) -> tuple[bool, bool]:
+    """Whether a start tag's attributes hide its element, and whether they name page furniture."""
+    hidden = furniture = False
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), html.unescape(value.strip("\"'").rstrip("/"))
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _UNSEEN.search(value)):
+            hidden = True
+        elif name in ("class", "id", "role"):
+            furniture = furniture or any(map(_names_furniture, value.lower().split()))
+    return hidden, furniture
+
+
+class _Reader:
+    """The state of one pass over a page: open elements, and the parts of the block that is being read.
+
+    Containers are kept open, and a paragraph or inline element only if its
+    attributes hide it or name furniture. An entry is the element's name and
+    whether it is silent, in furniture, and in an article.
+    """
+
+    OUTSIDE = ("", False, False, False)
+
+    def __init__(self):
+        self.found: list[tuple[str, int, int, bool, bool]] = []
+        self.parts: list[tuple[str, bool]] = []
+        self.stack: list[tuple[str, bool, bool, bool]] = []
+        self.links = 0
+
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join(html.unescape("".join(t for t, _ in self.parts)).split())
+            if text:
+                linked = sum(len(_WORDS.findall(html.unescape(t))) for t, in_link in self.parts if in_link)
+                top = self.stack[-1] if self.stack else self.OUTSIDE
+                self.found.append((text, len(text.split()), linked, top[2], top[3]))
+            self.parts.clear()
+
+    def text(self, text: str) -> None:
+        if text and not (self.stack and self.stack[-1][1]):
+            self.parts.append((text, self.links > 0))
+
+    def _inner(self) -> int:
+        """Where the paragraph and inline elements above the last container begin."""
+        at = len(self.stack)
+        while at and self.stack[at - 1][0] not in CONTAINERS:
+            at -= 1
+        return at
+
+    def start(self, name: str, attributes: str) -> None:
+        container = name in CONTAINERS
+        if container or name == "p":
+            self.flush()
+            for at in range(self._inner(), len(self.stack)):
+                if self.stack[at][0] == "p":  # a block ends an open paragraph
+                    del self.stack[at:]
+                    break
+            if name in REPEATED and self.stack and self.stack[-1][0] == name:
+                self.stack.pop()
+        if name == "br":
+            self.text(" ")
+        elif name == "a":
+            self.links += 1
+        if name in VOID:
+            if name == "hr":
+                self.flush()
+            return
+        hidden, named = marks(attributes) if attributes.strip() else (False, False)
+        if name in ("html", "body", "article", "main"):
+            named = False
+        _, silent, furniture, article = self.stack[-1] if self.stack else self.OUTSIDE
+        if container or name == "p":
+            furniture = furniture or named or name in ASIDE or (name == "header" and not article)
+            if container or hidden or named:
+                self.stack.append((name, silent or hidden or name in SILENT, furniture, article or name in ("article", "main")))
+        elif hidden or named or name in SILENT:
+            # Inside a block only the marked words are left out.
+            self.stack.append((name, True, furniture, article))
+
+    def end(self, name: str) -> None:
+        if name == "a":
+            self.links = max(0, self.links - 1)
+        container = name in CONTAINERS
+        if container or name == "p":
+            self.flush()
+        for at in range(len(self.stack) - 1, -1 if container else self._inner() - 1, -1):
+            if self.stack[at][0] == name:
+                del self.stack[at:]
+                break
 
 
 def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
@@ -52,107 +146,65 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
 
     A block is the text between two block-level tags, with character references
     decoded and white space turned into one space; a line break is white space.
-    Comments, declarations, scripts, styles and the head make no block. An end
-    tag closes the elements opened since its start tag; one without a start tag
-    closes nothing; elements that are never closed reach to the end of the page,
-    as does an unclosed comment, script or tag.
+    Comments, declarations, scripts, styles, the head and hidden elements make
+    no block. An end tag closes the elements opened since its start tag; one
+    without a start tag closes nothing; elements that are never closed reach to
+    the end of the page, as does an unclosed comment, script or tag; a slash at
+    the end of a start tag closes nothing.
     """
-    page = page or ""
-    found: list[tuple[str, int, int, bool, bool]] = []
-    parts: list[tuple[str, bool]] = []
-    # Open containers: (tag, silent, furniture, article). Inline elements but links are not kept.
-    stack: list[tuple[str, bool, bool, bool]] = []
-    links = 0
-
-    def flush() -> None:
-        if parts:
-            text = " ".join(html.unescape("".join(t for t, _ in parts)).split())
-            if text:
-                linked = sum(len(_WORDS.findall(html.unescape(t))) for t, in_link in parts if in_link)
-                top = stack[-1] if stack else ("", False, False, False)
-                found.append((text, len(text.split()), linked, top[2], top[3]))
-            parts.clear()
-
-    at = 0
+    page, reader, at = page or "", _Reader(), 0
     while True:
         match = _TOKEN.search(page, at)
-        text = page[at : match.start() if match else len(page)]
-        if text and not (stack and stack[-1][1]):
-            parts.append((text, links > 0))
+        reader.text(page[at : match.start() if match else len(page)])
         if not match:
             break
-        at = match.end()
-        name = (match[2] or "").lower()
+        at, name = match.end(), (match[2] or "").lower()
         if not name:
             continue
-        if not match[1]:
-            attributes = match[3] or ""
-            if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else len(page)
-                if name in BLOCKS:
-                    flush()
-                continue
-            if name == "br":
-                parts.append((" ", links > 0))
-            elif name == "a":
-                links += 1
-            if name in BLOCKS or name in ASIDE or name in SILENT:
-                flush()
-                if name not in VOID and not (name == "p" or attributes.endswith("/")):
-                    _, silent, furniture, article = stack[-1] if stack else ("", False, False, False)
-                    if name == "body":
-                        silent = False
-                    silent = silent or name in SILENT or bool(_HIDDEN.search(attributes))
-                    inside = article or name in ("article", "main")
-                    furniture = furniture or name in ASIDE or (name == "header" and not article) or (name not in ("body", "html", "article", "main") and _marked(attributes))
-                    stack.append((name, silent, furniture, inside))
-            elif name not in VOID and _marked(attributes) and name in ("span", "label", "small"):
-                pass
+        if match[1]:
+            reader.end(name)
+        elif name in RAW:
+            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = end.end() if end else len(page)
+            if name in BLOCKS:
+                reader.flush()
         else:
-            if name == "a":
-                links = max(0, links - 1)
-            if name in BLOCKS or name in ASIDE or name in SILENT:
-                flush()
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == name:
-                        del stack[depth:]
-                        break
-    flush()
-    return found
-
-
-FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "furniture", "article"]
-# The labelled table the tree is trained on: the features above, and 1 for blocks of the main text.
-LABELLED = np.array([
-    # paragraphs and headings inside an article, long and short
-    [120, 0.00, 80, 0.0, 90, 0.0, 0, 1, 1], [60, 0.02, 8, 0.0, 100, 0.0, 0, 1, 1], [1, 0.0, 120, 0.0, 70, 0.0, 0, 1, 1], [2, 0.0, 1, 0.0, 3, 0.0, 0, 1, 1],
-    [9, 0.00, 6, 1.0, 90, 0.0, 0, 1, 1], [10, 0.0, 12, 0.0, 200, 0.0, 0, 1, 1], [35, 0.1, 40, 0.0, 10, 0.0, 0, 1, 1], [4, 0.0, 30, 0.0, 8, 0.0, 0, 1, 1],
-    [15, 0.3, 60, 0.0, 60, 0.0, 0, 1, 1], [3, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1], [250, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1], [6, 0.2, 200, 0.0, 12, 0.0, 0, 1, 1],
-    [5, 0.0, 1, 1.0, 40, 0.0, 0, 1, 1], [22, 0.0, 11, 0.0, 9, 0.2, 0, 1, 1], [1, 1.0, 90, 0.0, 90, 0.0, 0, 1, 1],
-    # the same before and after links
-    [5, 0.00, 40, 0.0, 1, 1.0, 0, 1, 1], [1, 0.0, 60, 0.0, 3, 1.0, 0, 1, 1], [12, 0.0, 30, 0.0, 5, 0.9, 0, 1, 1], [30, 0.0, 3, 1.0, 2, 1.0, 0, 1, 1],
-    [2, 0.00, 1, 1.0, 1, 1.0, 0, 1, 1], [7, 0.0, 12, 0.8, 20, 0.9, 0, 1, 1], [2, 0.9, 40, 0.0, 3, 0.0, 0, 1, 1], [9, 1.0, 0, 0.0, 70, 0.0, 0, 1, 1],
-    # long text of pages without an article element
-    [90, 0.02, 70, 0.0, 60, 0.1, 0, 0, 1], [45, 0.0, 7, 0.0, 80, 0.0, 0, 0, 1], [30, 0.05, 3, 1.0, 50, 0.0, 0, 0, 1], [25, 0.0, 60, 0.0, 2, 1.0, 0, 0, 1],
-    [14, 0.0, 90, 0.0, 90, 0.0, 0, 0, 1], [8, 0.0, 40, 0.0, 60, 0.0, 0, 0, 1], [3, 0.0, 70, 0.0, 50, 0.0, 0, 0, 1], [16, 0.1, 30, 0.0, 35, 0.0, 0, 0, 1],
-    [20, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1], [12, 0.0, 1, 1.0, 45, 0.0, 0, 0, 1],
-    # menus, link lists and crumbs outside marked elements
-    [1, 1.00, 1, 1.0, 1, 1.0, 0, 0, 0], [2, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0], [3, 0.9, 2, 1.0, 12, 0.0, 0, 0, 0], [12, 0.9, 8, 1.0, 9, 1.0, 0, 0, 0],
-    [25, 0.80, 3, 1.0, 4, 1.0, 0, 0, 0], [4, 0.7, 20, 0.0, 3, 1.0, 0, 0, 0], [2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0], [1, 0.0, 2, 1.0, 3, 0.9, 0, 0, 0],
-    [40, 0.95, 60, 0.0, 4, 0.5, 0, 0, 0], [3, 1.0, 80, 0.0, 2, 1.0, 0, 0, 0],
-    # menus, adverts, sidebars, forms, notices, comments and footers in marked elements, with and without links, also inside an article
-    [1, 1.00, 1, 1.0, 1, 1.0, 1, 0, 0], [8, 0.0, 1, 1.0, 10, 0.0, 1, 0, 0], [15, 0.0, 6, 1.0, 9, 0.0, 1, 0, 0], [60, 0.0, 50, 0.0, 40, 0.0, 1, 0, 0],
-    [12, 0.10, 90, 0.0, 0, 0.0, 1, 0, 0], [30, 0.0, 90, 0.0, 20, 0.0, 1, 0, 0], [5, 0.0, 90, 0.0, 90, 0.0, 1, 1, 0], [40, 0.0, 90, 0.0, 80, 0.0, 1, 1, 0],
-    [3, 0.50, 40, 0.0, 5, 0.0, 1, 0, 0], [110, 0.0, 100, 0.0, 90, 0.0, 1, 1, 0], [2, 0.0, 0, 0.0, 3, 1.0, 1, 0, 0], [150, 0.02, 0, 0.0, 0, 0.0, 1, 0, 0],
-    [7, 0.00, 200, 0.0, 0, 0.0, 1, 0, 0], [20, 1.0, 90, 0.0, 3, 1.0, 1, 1, 0], [1, 0.0, 100, 0.0, 100, 0.0, 1, 1, 0],
-])
+            reader.start(name, match[3] or "")
+    reader.flush()
+    return reader.found
+
+
+AROUND = (-2, -1, 0, 1, 2)
+FEATURES = [f"{kind}_{step:+d}" for step in AROUND for kind in ("words", "link_density")] + ["furniture", "article"]
+# The labelled table the tree is trained on, page by page: words, link density, in furniture, in an article, and 1 for main text.
+# On the first pages elements and names tell; on the others nothing is marked, and the blocks around decide.
+_LINK, _MENU = (1, 1.0, 0, 0, 0), (2, 1.0, 1, 0, 0)
+LABELLED_PAGES = [
+    [_MENU, _MENU, (1, 1.0, 1, 0, 0), (8, 0.0, 1, 0, 0), (10, 0.0, 0, 1, 1), (120, 0.0, 0, 1, 1), (2, 0.0, 0, 1, 1), (60, 0.02, 0, 1, 1), (40, 0.0, 1, 1, 0), (30, 0.0, 0, 1, 1), (9, 0.0, 0, 1, 1), (12, 0.0, 1, 0, 0)],
+    [_MENU, (25, 0.8, 1, 0, 0), (6, 0.0, 0, 1, 1), (15, 0.3, 0, 1, 1), (1, 1.0, 0, 1, 1), (9, 1.0, 0, 1, 1), (250, 0.0, 0, 1, 1), (110, 0.0, 1, 1, 0), (60, 0.0, 1, 0, 0), (45, 0.0, 1, 0, 0), (20, 0.1, 1, 0, 0)],
+    [(3, 0.0, 0, 1, 1), (8, 0.0, 1, 1, 0), (7, 0.0, 0, 1, 1), (150, 0.02, 1, 0, 0), (1, 0.0, 0, 1, 1), (2, 0.9, 0, 1, 1), (3, 0.5, 1, 1, 0)],
+    [(90, 0.0, 1, 0, 0), (4, 0.0, 0, 1, 1), (5, 0.0, 1, 0, 0)], [(12, 0.0, 0, 1, 1)], [(30, 0.0, 1, 0, 0)],
+    [(5, 0.0, 0, 1, 1), (12, 0.0, 0, 1, 1), (3, 0.0, 1, 1, 0), (4, 0.0, 0, 1, 1)], [_MENU, (9, 0.0, 0, 1, 1), (70, 0.0, 0, 1, 1), (20, 0.0, 0, 1, 1), (8, 0.2, 0, 1, 1)], [(2, 0.0, 0, 1, 1), (3, 0.0, 0, 1, 1)],
+    [_LINK, (4, 0.0, 0, 1, 1), (6, 0.0, 0, 1, 1), (1, 0.0, 0, 1, 1), (2, 1.0, 0, 1, 1)], [*[_LINK] * 2, (1, 0.0, 0, 1, 1), (15, 0.0, 0, 1, 1), (7, 0.0, 0, 1, 1)], [_LINK, (8, 0.0, 1, 0, 0), (7, 0.0, 0, 1, 1), (9, 0.0, 0, 1, 1), _MENU],
+    # a menu, a line of advertising, a heading, paragraphs, a line at the foot
+    [*[_LINK] * 6, (8, 0.0, 0, 0, 0), (10, 0.0, 0, 0, 1), (120, 0.0, 0, 0, 1), (3, 0.0, 0, 0, 1), (60, 0.0, 0, 0, 1), (130, 0.0, 0, 0, 1), (12, 0.0, 0, 0, 0)],
+    [*[_LINK] * 4, (5, 0.0, 0, 0, 0), (7, 0.0, 0, 0, 1), (45, 0.0, 0, 0, 1), (2, 0.0, 0, 0, 1), (8, 0.0, 0, 0, 1), (30, 0.05, 0, 0, 1), (20, 0.0, 0, 0, 0)],
+    [*[_LINK] * 5, (14, 0.0, 0, 0, 0), (12, 0.0, 0, 0, 1), (200, 0.0, 0, 0, 1), (8, 0.0, 0, 0, 0)],
+    [*[_LINK] * 3, (9, 0.0, 0, 0, 0), (4, 0.0, 0, 0, 1), (22, 0.0, 0, 0, 1), (90, 0.0, 0, 0, 1), (6, 0.0, 0, 0, 1), (15, 0.0, 0, 0, 1), (10, 0.1, 0, 0, 0)],
+    [*[_LINK] * 3, (11, 0.0, 0, 0, 0), (9, 0.0, 0, 0, 1), (6, 0.0, 0, 0, 1), (3, 0.0, 0, 0, 1), (25, 0.0, 0, 0, 0)],
+    [*[_LINK] * 5, (7, 0.0, 0, 0, 0), (11, 0.0, 0, 0, 1), (3, 0.0, 0, 0, 1), (80, 0.0, 0, 0, 1), (2, 0.0, 0, 0, 1), (4, 0.0, 0, 0, 1), (6, 0.0, 0, 0, 0)],
+    # link lists after the text, none before it
+    [(6, 0.0, 0, 0, 1), (80, 0.0, 0, 0, 1), (35, 0.0, 0, 0, 1), (4, 1.0, 0, 0, 0), (6, 0.9, 0, 0, 0), (5, 1.0, 0, 0, 0), (9, 0.1, 0, 0, 0)],
+    [(12, 0.9, 0, 0, 0), (25, 0.8, 0, 0, 0), (40, 0.95, 0, 0, 0), (9, 0.0, 0, 0, 1), (70, 0.1, 0, 0, 1), (50, 0.0, 0, 0, 1), (3, 0.7, 0, 0, 0)],
+    # text alone
+    [(9, 0.0, 0, 0, 1)], [(6, 0.0, 0, 0, 1)], [(5, 0.0, 0, 0, 1), (120, 0.0, 0, 0, 1), (90, 0.02, 0, 0, 1)], [(60, 0.0, 0, 0, 1), (40, 0.0, 0, 0, 1), (55, 0.0, 0, 0, 1)],
+]
 
 
 class Tree:
     """A binary decision tree, grown by Gini impurity until its leaves are pure or too small to split."""
 
-    def __init__(self, rows: np.ndarray, labels: np.ndarray, depth: int = 6, least: int = 2):
+    def __init__(self, rows: np.ndarray, labels: np.ndarray, depth: int = 8, least: int = 2):
         self.column, self.value = None, float(labels.mean() >= 0.5)
         if depth == 0 or len(labels) < 2 * least or labels.min() == labels.max():
             return
@@ -179,16 +231,25 @@ class Tree:
         return found
 
 
-def train(labelled: np.ndarray = LABELLED) -> Tree:
+def labelled_table() -> np.ndarray:
+    """A row of ``FEATURES`` and the label per block of ``LABELLED_PAGES``."""
+    rows = [np.column_stack([features([("", w, w * d, f, a) for w, d, f, a, _ in page]), [y for *_, y in page]]) for page in LABELLED_PAGES]
+    return np.concatenate(rows)
+
+
+def train(labelled: np.ndarray | None = None) -> Tree:
+    labelled = labelled_table() if labelled is None else labelled
     return Tree(labelled[:, :-1], labelled[:, -1])
 
 
-def features(found: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
+def features(found: list[tuple[str, int, float, bool, bool]]) -> np.ndarray:
     """A row of ``FEATURES`` per block of one page; neighbours beyond its ends have zeros."""
-    words = np.array([0, *(b[1] for b in found), 0], float)
-    density = np.array([0, *(b[2] for b in found), 0], float) / np.maximum(1, words)
-    flags = np.array([b[3:] for b in found], float).reshape(-1, 2)
-    return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], flags])
+    reach = max(AROUND)
+    words = np.array([0] * reach + [b[1] for b in found] + [0] * reach, float)
+    density = np.array([0] * reach + [b[2] for b in found] + [0] * reach, float) / np.maximum(1, words)
+    flags = np.array([b[3:5] for b in found], float).reshape(-1, 2)
+    around = [column[reach + step : reach + step + len(found)] for step in AROUND for column in (words, density)]
+    return np.column_stack([*around, flags])
 
 
 def extract_pages(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
