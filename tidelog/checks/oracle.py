@@ -402,6 +402,14 @@ SELECT directory_name, source_file, CASE WHEN status = 'completed' THEN n ELSE 0
   tableName AS table_name, {FLAT.format('context')} AS context, {FLAT.format('sql')} AS sql_query, sdbl, exception,
   coalesce(CAST(mssql_error_code AS VARCHAR), '') AS sql_error_code, locks, CAST(0 AS BIGINT) AS rows,
   CAST(0 AS BIGINT) AS rows_affected, severity, category FROM journal""",
+    "alt_layout_load": f"""{JOURNAL}, flat AS (SELECT * REPLACE (date_trunc('second', "timestamp") AS "timestamp",
+  {FLAT.format('context')} AS context, {FLAT.format('sql')} AS sql) FROM journal) SELECT {EVENT_SELECT} FROM flat""",
+    "alt_layout_rejects": f"""{JOURNAL} SELECT directory_name, source_file, line_number, 'bad_level' AS reason
+FROM journal WHERE {DAMAGED}""",
+    # A record has a line for its time and one for each of its 27 fields.
+    "alt_layout_stats": f"""{JOURNAL}, f AS (SELECT directory_name, source_file, 28 * count(*) AS lines,
+  count(*) FILTER (NOT {DAMAGED}) AS events, count(*) FILTER ({DAMAGED}) AS errors FROM journal GROUP BY 1, 2)
+SELECT *, CASE WHEN events > 0 THEN 'completed' ELSE 'empty' END AS status FROM f""",
     "stream_ingest": ALL_EVENTS,
     "stream_growing": ALL_EVENTS,
     "stream_stats": f"""{JOURNAL} SELECT directory_name, source_file, CAST(sum({LINES}) AS BIGINT) AS lines,

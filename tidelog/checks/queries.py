@@ -12,7 +12,7 @@ from tidelog.operators.alternative import TEXT_FIELDS, parse_alternative
 from tidelog.operators.filters import ANALYSIS_SEARCH, EventFilter
 from tidelog.operators.paging import after_row, event_order, take_slice
 from tidelog.plans import analysis, facets, report, search, sessions
-from tidelog.plans.ingest import Load, load_stats, parse_files, session_totals
+from tidelog.plans.ingest import Load, ingest, load_stats, parse_files, session_totals
 from tidelog.schema import EVENT_COLUMNS, EXPORT_HEADERS
 from tidelog.session import qualified, scratch_path
 from tidelog.sources.export import export_rows, write_csv
@@ -192,8 +192,11 @@ def rendered(spark: SparkSession, sf_dir: str, kind: str) -> Layout:
             text = record_text()
         elif kind == "damaged":
             text = record_text(F.when(is_damaged(), broken_clock()).otherwise(clock_text(F.col("timestamp"))))
-        else:
+        elif kind == "alternative":
             text = alternative_text(alternative_fields())
+        else:
+            level = F.when(is_damaged(), "many").otherwise(F.col("level").cast("string"))
+            text = alternative_text(alternative_fields() | {"level": level})
         write_files(rows, text, root, whole_hours=kind == "hours").write.format("noop").mode("overwrite").save()
         _rendered[key] = root
     return Layout(_rendered[key], parts=kind != "hours")
@@ -329,6 +332,24 @@ def alternative_roundtrip(spark, sf_dir):
     )
 
 
+def alternative_load(spark, sf_dir):
+    """The second layout loaded into a store, as events like any other."""
+    store = EventStore(spark, scratch_path(spark, "alternative-store"))
+    ingest(spark, store, rendered(spark, sf_dir, "alternative"), "all", LOADED_AT, form="fields")
+    return by_day(store.events())
+
+
+def alternative_rejects(spark, sf_dir):
+    loaded = parse_files(spark, rendered(spark, sf_dir, "alternative_damaged"), "all", LOADED_AT, form="fields")
+    return loaded.rejects.select("directory_name", "source_file", "line_number", "reason")
+
+
+def alternative_stats(spark, sf_dir):
+    store = EventStore(spark, scratch_path(spark, "alternative-store"))
+    stats = ingest(spark, store, rendered(spark, sf_dir, "alternative_damaged"), "all", LOADED_AT, form="fields")
+    return stats.select("directory_name", "source_file", "lines", "events", "errors", "status")
+
+
 def store_lifecycle(spark, sf_dir):
     """Whole journal stored, one session replaced and another deleted, old dates expired."""
     store, rows = EventStore(spark, scratch_path(spark, "lifecycle")), journal(spark, sf_dir)
@@ -459,6 +480,9 @@ QUERIES = {
     "ingest_totals": ingest_totals,
     "ingest_failures": ingest_failures,
     "alt_layout_roundtrip": alternative_roundtrip,
+    "alt_layout_load": alternative_load,
+    "alt_layout_rejects": alternative_rejects,
+    "alt_layout_stats": alternative_stats,
     "stream_ingest": stream_ingest,
     "stream_stats": stream_stats,
     "stream_growing": stream_growing,

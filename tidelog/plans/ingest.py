@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.numbers import round_ratio
+from tidelog.operators.alternative import STAMP, field_records
 from tidelog.operators.assemble import Assembled, assemble
 from tidelog.operators.parse import events_of, file_facts, parse_records, rejects_of
 from tidelog.session import drop_path, path_exists, scratch_path
@@ -53,9 +54,13 @@ def parse_lines(
     include_exception: bool = False,
     votes: DataFrame | None = None,
     chosen: Callable[[Assembled], DataFrame] | None = None,
+    form: str = "header",
 ) -> Load:
     """Parse lines of journal files.
 
+    ``form`` is the record layout: ``header`` (a header line, then properties)
+    or ``fields`` (a time stamp, then ``field;value`` lines, always UTF-8).
+
     ``votes`` are encoding votes of an earlier run (see ``split_table``);
     ``chosen`` picks and numbers the records to parse out of the assembled ones.
 
@@ -63,8 +68,12 @@ def parse_lines(
     stats are all taken from them, and filters on the reject reason read a
     stored column instead of repeating the pattern matching.
     """
-    assembled = assemble(spark, lines, encoding=encoding, codepage=codepage, facts=file_facts(layout), votes=votes)
-    parsed = parse_records(chosen(assembled) if chosen else assembled.records, start, end, include_exception)
+    if form not in ("header", "fields"):
+        raise ValueError("form must be 'header' or 'fields'")
+    how = {"header": STAMP, "encoding": "utf-8"} if form == "fields" else {"encoding": encoding}
+    assembled = assemble(spark, lines, codepage=codepage, facts=file_facts(layout), votes=votes, **how)
+    records = chosen(assembled) if chosen else assembled.records
+    parsed = field_records(records, start, end) if form == "fields" else parse_records(records, start, end, include_exception)
     path = scratch_path(spark, "parsed")
     parsed.write.option("compression", "zstd").parquet(path)
     parsed = spark.read.parquet(path)
