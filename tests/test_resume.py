@@ -38,7 +38,7 @@ def start(spark, logs, tmp_path):
 def test_growing_files_give_each_event_once(spark, logs, start, tmp_path):
     run, store, _ = start
     sessions = SessionStore(spark, str(tmp_path / "sessions"))
-    files = {"a/26031005.log": content(60), "b c/26031005.log": content(40, "cp1251"), "b c/26031006.log": content(25), "d/26031007.log": b""}
+    files = {"a/26031005.log": content(60), "b c/26031005.log": content(40, "cp1251"), "b c/26031006.log": content(25), "d/26031007.log": b"", "e/26031008.log": content(30, "cp866")}
     draw = random.Random(3)
     cuts = {name: [*sorted(draw.sample(range(1, len(data)), 3)), len(data)] if data else [0] * 4 for name, data in files.items()}
     # One cut inside a header, one inside a character.
@@ -53,10 +53,10 @@ def test_growing_files_give_each_event_once(spark, logs, start, tmp_path):
         before, seen = seen, store.events().count()
         assert seen >= before
     want = parse_files(spark, Layout(logs.root), "live", LOADED_AT).events
-    assert want.count() == 125 and rows(store.events()) == rows(want)
+    assert want.count() == 155 and rows(store.events()) == rows(want)
     assert run(CLOSED) == {}
     kept = sessions.sessions().collect()
-    assert sum(r.total_events for r in kept) == 125 and {r.status for r in kept} == {"completed"}
+    assert sum(r.total_events for r in kept) == 155 and {r.status for r in kept} == {"completed"}
 
 
 def test_the_open_record_waits_for_its_end(logs, start):

@@ -80,6 +80,23 @@ def test_encodings(logs, load):
     assert sorted(rows["broken"]) == sorted(["ж"] * 3 + ["\ufffd\ufffdz"])
 
 
+def test_the_code_page_of_each_file_is_voted(logs, load):
+    text = "00:01.0-1,CALL,1,Usr=Съешь ещё этих мягких,Descr='булок\nДА'\n"
+    for name, codec in (("utf", "utf-8"), ("win", "cp1251"), ("dos", "cp866")):
+        logs(f"{name}/26031005.log", (text * 3).encode(codec))
+    logs("ascii/26031005.log", "00:01.0-1,CALL,1,Usr=plain\n")
+    # More lines in UTF-8 than broken ones; and broken bytes that are no letters of either page.
+    logs("mixed/26031005.log", text.encode() * 3 + text.encode("cp866"))
+    logs("odd/26031005.log", b"00:01.0-1,CALL,1,Usr=\xb9\n")
+    rows = {}
+    for r in load(logs).events.collect():
+        rows.setdefault(r.directory_name, []).append(r.usr)
+    whole = "Съешь ещё этих мягких"
+    assert rows["utf"] == rows["win"] == rows["dos"] == [whole] * 3 and rows["ascii"] == ["plain"]
+    assert rows["mixed"].count(whole) == 3 and rows["odd"] == ["№"]
+    assert set(load(logs, codepage="cp1251").events.where("directory_name = 'dos'").select("usr").first()) != {whole}
+
+
 def test_forced_encodings(logs, load):
     logs("dos/26031005.log", "00:01.0-1,CALL,1,Usr=Юзер\n".encode("cp866"))
     assert load(logs, encoding="cp866").events.first().usr == "Юзер"

@@ -392,6 +392,8 @@ SELECT *, CASE WHEN events > 0 THEN 'completed' ELSE 'empty' END AS status FROM
     "ingest_totals": f"""{JOURNAL} SELECT count(DISTINCT (directory_name, source_file)) AS total_files,
   count(DISTINCT (directory_name, source_file)) AS processed_files,
   count(*) FILTER (NOT {DAMAGED}) AS total_events, CAST(100 AS DOUBLE) AS progress_percent FROM journal""",
+    "ingest_encodings": f"""{JOURNAL} SELECT "timestamp", directory_name, source_file, line_number,
+  CASE WHEN usr <> '' THEN concat('Инженер ', usr) ELSE '' END AS usr FROM journal""",
     "ingest_failures": f"""{JOURNAL}, f AS (SELECT directory_name, source_file, CAST(sum({LINES}) AS BIGINT) AS n, count(*) AS cnt,
   CASE WHEN directory_name = 'ib1' AND source_file = '24011006.log' THEN 'permission_error'
        WHEN directory_name = 'ib2' AND source_file = '24011007.log' THEN 'error' ELSE 'completed' END AS status FROM journal GROUP BY 1, 2)

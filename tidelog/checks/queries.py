@@ -8,6 +8,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.functions.text import single_byte_bytes
 from tidelog.operators.alternative import TEXT_FIELDS, parse_alternative
 from tidelog.operators.filters import ANALYSIS_SEARCH, EventFilter
 from tidelog.operators.paging import after_row, event_order, take_slice
@@ -192,6 +193,8 @@ def rendered(spark: SparkSession, sf_dir: str, kind: str) -> Layout:
             text = record_text()
         elif kind == "damaged":
             text = record_text(F.when(is_damaged(), broken_clock()).otherwise(clock_text(F.col("timestamp"))))
+        elif kind == "encodings":
+            rows, text = with_cyrillic(rows), encoded_text()
         elif kind == "alternative":
             text = alternative_text(alternative_fields())
         else:
@@ -259,6 +262,26 @@ def ingest_totals(spark, sf_dir):
     return session_totals(_stats(spark, sf_dir))
 
 
+def with_cyrillic(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("usr", F.when(F.col("usr") != "", F.concat(F.lit("Инженер "), F.col("usr"))).otherwise(""))
+
+
+def encoded_text():
+    """Directories ib1 and ib4 in cp1251, ib2 in cp866, the others in UTF-8."""
+    text, name = record_text(), F.col("directory_name")
+    return (
+        F.when(name.isin("ib1", "ib4"), single_byte_bytes(text, "cp1251"))
+        .when(name == "ib2", single_byte_bytes(text, "cp866"))
+        .otherwise(text.cast("binary"))
+    )
+
+
+def ingest_encodings(spark, sf_dir):
+    """A journal in three encodings, none of which is named to the load."""
+    events = load(spark, sf_dir, "encodings").events
+    return events.select("timestamp", "directory_name", "source_file", "line_number", "usr")
+
+
 def hard_to_read(path: str):
     """Opens a file, but for the hour 6 of one directory (no permission) and the hour 7 of another (damaged)."""
     if "/ib1/24011006.log" in path:
@@ -479,6 +502,7 @@ QUERIES = {
     "ingest_load_stats": ingest_load_stats,
     "ingest_totals": ingest_totals,
     "ingest_failures": ingest_failures,
+    "ingest_encodings": ingest_encodings,
     "alt_layout_roundtrip": alternative_roundtrip,
     "alt_layout_load": alternative_load,
     "alt_layout_rejects": alternative_rejects,

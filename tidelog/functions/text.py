@@ -38,6 +38,13 @@ def single_byte_text(raw: Column, codepage: str) -> Column:
     return F.translate(F.decode(raw.cast("binary"), "ISO-8859-1"), latin, "".join(upper))
 
 
+def single_byte_bytes(text: Column, codepage: str) -> Column:
+    """The bytes of a text in a single-byte code page: the inverse of ``single_byte_text``."""
+    upper = {n: bytes([n]).decode(codepage, "replace") for n in range(128, 256)}
+    known = {n: c for n, c in upper.items() if c != "\ufffd"}
+    return F.encode(F.translate(text, "".join(known.values()), "".join(map(chr, known))), "ISO-8859-1")
+
+
 def property_arrays(text: Column) -> tuple[Column, Column]:
     """Keys and unquoted values of a property list, last occurrence first."""
     keys = F.reverse(F.regexp_extract_all(text, F.lit(PROPERTY), F.lit(1)))

@@ -38,12 +38,20 @@ MAX_RECORD_BYTES = 1 << 30
 
 SPLIT_KEY = ("file_id", "part", "block_start")
 
+# What the encoding of a file is voted by, and how earlier votes are called.
+VOTES = {"bad_lines": "bad_before", "wide_lines": "wide_before", "win_bytes": "win_before", "dos_bytes": "dos_before"}
+
 PIECE_SCHEMA = (
     "file_id bigint, part bigint, block_start bigint, piece bigint, is_last boolean, "
     "file_path string, n_lines bigint, bad_lines bigint, wide_lines bigint, n_bytes bigint, "
-    "raw binary, at bigint, problem string"
+    "raw binary, at bigint, problem string, win_bytes bigint, dos_bytes bigint"
 )
 
+# Bytes that are Cyrillic letters in one code page and hardly ever
+# anything in the other (0xE0 to 0xEF are letters in both).
+ONLY_CP1251 = np.isin(np.arange(256), [*range(0xC0, 0xE0), *range(0xF0, 0x100)])
+ONLY_CP866 = np.isin(np.arange(256), range(0x80, 0xB0))
+
 
 @dataclass(frozen=True)
 class Assembled:
@@ -102,10 +110,24 @@ def _joined(rows: pa.Table, starts: np.ndarray, numbers: np.ndarray, last: np.nd
         "raw": text,
         "at": firsts.column("at") if "at" in rows.column_names else pa.nulls(len(starts), pa.int64()),
         "problem": _first_problems(rows, starts),
+        "win_bytes": _letters(rows, raw, starts, ONLY_CP1251),
+        "dos_bytes": _letters(rows, raw, starts, ONLY_CP866),
     }
     return pa.table(columns).combine_chunks().to_batches()[0]
 
 
+def _letters(rows: pa.Table, raw: pa.Array, starts: np.ndarray, letters: np.ndarray) -> pa.Array:
+    """Bytes of a code page's own letters per piece, in lines that are not UTF-8."""
+    bad = np.flatnonzero(rows.column("bad").to_numpy())
+    found = np.zeros(len(starts), np.int64)
+    if len(bad):
+        lines = raw.take(pa.array(bad)).cast(pa.binary())
+        ends = np.frombuffer(lines.buffers()[1], np.int32, len(lines) + 1)
+        seen = np.concatenate(([0], np.cumsum(letters[np.frombuffer(lines.buffers()[2], np.uint8, ends[-1])])))
+        np.add.at(found, np.searchsorted(starts, bad, side="right") - 1, np.diff(seen[ends]))
+    return pa.array(found)
+
+
 def _first_problems(rows: pa.Table, starts: np.ndarray) -> pa.Array:
     """The first problem among the lines of each piece; hardly ever there is one."""
     if "problem" not in rows.column_names or rows.column("problem").null_count == rows.num_rows:
@@ -184,9 +206,10 @@ def split_table(
     rather than once per record later.
 
     The encoding is a vote of the file's non-ASCII lines: more of them broken
-    than valid as UTF-8 means the file is in the single-byte code page. ``votes``
-    (``file_id, bad_before, wide_before``) are those of lines read in an earlier
-    run. ``last_at`` is where the last record of a split begins.
+    than valid as UTF-8 means the file is in a single-byte code page: the given
+    one, or with ``auto`` the one whose own letters are more bytes of the broken
+    lines (cp1251 if equal). ``votes`` (``file_id`` and the columns of ``VOTES``)
+    are those of lines read in an earlier run. ``last_at`` is where the last record of a split begins.
     """
     per_split = pieces.groupBy(*SPLIT_KEY).agg(
         F.max("piece").alias("n_headers"),
@@ -197,6 +220,8 @@ def split_table(
         F.max("file_path").alias("high_path"),
         F.max(F.when(F.col("piece") > 0, F.col("at"))).alias("last_at"),
         F.min("problem").alias("problem"),
+        F.sum("win_bytes").alias("win_bytes"),
+        F.sum("dos_bytes").alias("dos_bytes"),
     )
     if votes is not None:
         per_split = per_split.join(votes, "file_id", "left")
@@ -204,9 +229,9 @@ def split_table(
     whole = Window.partitionBy("file_id")
     before = whole.orderBy("part", "block_start").rowsBetween(Window.unboundedPreceding, -1)
     if encoding == "auto":
-        bad, wide = F.sum("bad_lines").over(whole) + earlier("bad_before"), F.sum("wide_lines").over(whole) + earlier("wide_before")
-        single_byte = bad > wide
-        chosen = F.when(single_byte, codepage).otherwise("utf-8")
+        bad, wide, win, dos = (F.sum(column).over(whole) + earlier(before) for column, before in VOTES.items())
+        page = F.when(dos > win, "cp866").otherwise("cp1251") if codepage == "auto" else F.lit(codepage)
+        chosen = F.when(bad > wide, page).otherwise("utf-8")
     else:
         chosen = F.lit(encoding)
     low, high = F.min("low_path").over(whole), F.max("high_path").over(whole)
@@ -228,7 +253,7 @@ def assemble(
     lines: DataFrame,
     header: str = HEADER,
     encoding: str = "auto",
-    codepage: str = "cp1251",
+    codepage: str = "auto",
     facts: dict[str, Column] | None = None,
     votes: DataFrame | None = None,
 ) -> Assembled:

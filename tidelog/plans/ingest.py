@@ -50,7 +50,7 @@ def parse_lines(
     end: datetime | None = None,
     rules: str = "rules",
     encoding: str = "auto",
-    codepage: str = "cp1251",
+    codepage: str = "auto",
     include_exception: bool = False,
     votes: DataFrame | None = None,
     chosen: Callable[[Assembled], DataFrame] | None = None,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.times import ntz
-from tidelog.operators.assemble import Assembled
+from tidelog.operators.assemble import VOTES, Assembled
 from tidelog.plans.ingest import STATS_SCHEMA, load_stats, parse_lines
 from tidelog.session import BROADCAST_ROWS, drop_path, matching_paths, path_exists
 from tidelog.sources.files import Layout, base_hour
@@ -18,7 +18,8 @@ from tidelog.sources.store import EventStore
 from tidelog.streaming.follow import begin_session
 
 LEDGER_SCHEMA = (
-    "file_path string, file_id bigint, offset bigint, seen bigint, next_line bigint, bad_before bigint, wide_before bigint, closed boolean"
+    "file_path string, file_id bigint, offset bigint, seen bigint, next_line bigint, closed boolean, "
+    + ", ".join(f"{before} bigint" for before in VOTES.values())
 )
 
 
@@ -93,7 +94,7 @@ def resume(
     files = stored_files(spark, layout).join(old, "file_id", "left").where(~F.coalesce("closed", F.lit(False)))
     files = files.select(
         "path", "file_path", "file_id", "part", "file_size", zero(F.col("offset")).alias("offset"), F.col("seen"),
-        F.coalesce("next_line", F.lit(1)).cast("bigint").alias("next_line"), *[zero(F.col(c)).alias(c) for c in ("bad_before", "wide_before")],
+        F.coalesce("next_line", F.lit(1)).cast("bigint").alias("next_line"), *[zero(F.col(c)).alias(c) for c in VOTES.values()],
         F.coalesce(ended, F.lit(False)).alias("closes"),
     )
     # One row per file that is open, kept as it is found now: the files may grow while the run goes on.
@@ -113,7 +114,7 @@ def resume(
         whole = found.records.join(about, "file_id").where(F.col("closes") | (F.col("event_seq") < F.col("n_headers")))
         return whole.withColumn("event_seq", F.col("event_seq") + F.col("next_line") - 1).drop("next_line", "closes", "n_headers")
 
-    votes = fresh.select("file_id", "bad_before", "wide_before")
+    votes = fresh.select("file_id", *VOTES.values())
     lines = read_ranges(file_ranges(fresh.where(F.col("file_size") >= F.col("offset"))), opener)
     load = parse_lines(spark, lines, layout, session_id, loaded_at, votes=votes, chosen=chosen, **options)
     stats_path = f"{ledger.path}/stats-{run}"
@@ -152,9 +153,9 @@ def _advanced(rows: DataFrame, files: DataFrame, found: Assembled, n: int) -> Da
     known = files.join(per_file, "file_id", "left")
     # Votes of the lines before the open record: those of its pieces are cast when it is read again.
     offsets = found.splits.select("file_id", "part", "block_start", "offset").withColumnRenamed("offset", "before")
-    pieces = found.pieces.select("file_id", "part", "block_start", "piece", "bad_lines", "wide_lines").join(offsets, ["file_id", "part", "block_start"])
+    pieces = found.pieces.select("file_id", "part", "block_start", "piece", *VOTES).join(offsets, ["file_id", "part", "block_start"])
     pieces = pieces.join(_small(known.select("file_id", "n_headers"), n), "file_id").where(F.col("before") + F.col("piece") < F.col("n_headers"))
-    cast = pieces.groupBy("file_id").agg(F.sum("bad_lines").alias("bad"), F.sum("wide_lines").alias("wide"))
+    cast = pieces.groupBy("file_id").agg(*[F.sum(column).alias(column) for column in VOTES])
     shrunk = F.col("file_size") < F.col("offset")
     failed = F.col("problem").isNotNull() | shrunk
     moves = ~failed & F.col("last_at").isNotNull()
@@ -166,7 +167,7 @@ def _advanced(rows: DataFrame, files: DataFrame, found: Assembled, n: int) -> Da
         # A failed file is looked into again in the next run, whatever its size.
         F.when(failed, F.lit(-1)).otherwise(F.col("file_size")).alias("seen"),
         F.when(failed, F.col("next_line")).otherwise(F.col("next_line") + step).alias("next_line"),
-        *[F.when(moves, F.col(f"{kind}_before") + zero_if_null(kind)).otherwise(F.col(f"{kind}_before")).alias(f"{kind}_before") for kind in ("bad", "wide")],
+        *[F.when(moves, F.col(before) + zero_if_null(column)).otherwise(F.col(before)).alias(before) for column, before in VOTES.items()],
         closed.alias("closed"),
     )
     gone = rows.join(files.select("file_id"), "file_id", "left_anti")
