@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.codes import describe_error
 from tidelog.functions.numbers import round_ratio
 from tidelog.functions.text import with_previews
+from tidelog.operators.fetch import address, at_addresses, has_addresses
 from tidelog.operators.filters import EventFilter, has_db_error, is_filled, is_slow
 from tidelog.operators.paging import event_order
 from tidelog.operators.quantiles import exact_quantiles
@@ -21,6 +22,8 @@ TOP_TYPES = 20
 TOP_ROWS = 20
 TIMELINE_BUCKETS = 300
 TEXT_PREVIEW = 500
+# Statements fetched by address at most, for the ties at the end of a list.
+FETCHED = 1000
 ERROR_ROW = (
     "timestamp",
     "event_name",
@@ -204,8 +207,12 @@ def slow_queries(events: DataFrame, n: int = TOP_ROWS) -> DataFrame:
 
     Statements are grouped by a digest, so their texts (up to 100 000
     characters) are neither shuffled nor kept in hash tables; only those with a
-    longest run among the ``n`` longest are then fetched, ties included.
+    longest run among the ``n`` longest are then fetched, ties included: from
+    the address of one row of each where the events are stored.
     """
+    stored = _slow_stored(events, n) if has_addresses(events) else None
+    if stored is not None:
+        return stored
     rows = events.where(is_filled("sql")).withColumn("digest", F.unhex(F.md5("sql")))
     groups = rows.groupBy("digest").agg(
         F.count(F.lit(1)).alias("cnt"),
@@ -220,9 +227,31 @@ def slow_queries(events: DataFrame, n: int = TOP_ROWS) -> DataFrame:
         .select("digest", "sql")
         .dropDuplicates(["digest"])
     )
+    return _slow_list(listed.join(texts, "digest"), n)
+
+
+def _slow_stored(events: DataFrame, n: int) -> DataFrame | None:
+    """The list from one narrow aggregate and the files of its rows; None if too many statements tie at its end."""
+    rows = events.where(is_filled("sql")).select(F.unhex(F.md5("sql")).alias("digest"), "duration_ms", "duration_us", address().alias("at"))
+    groups = rows.groupBy("digest").agg(
+        F.count(F.lit(1)).alias("cnt"),
+        F.max("duration_ms").alias("max_duration_ms"),
+        F.sum("duration_us").alias("sum_us"),
+        F.min("at").alias("at"),
+    )
+    # Ties of the longest run are ordered by text, so all of them are fetched.
+    found = groups.orderBy(F.col("max_duration_ms").desc(), "digest").limit(FETCHED + 1).collect()
+    tied = [r for r in found if r["max_duration_ms"] >= found[min(n, len(found)) - 1]["max_duration_ms"]]
+    if len(tied) > FETCHED:
+        return None
+    listed = events.sparkSession.createDataFrame(tied, groups.schema)
+    texts = at_addresses(events, [r["at"] for r in tied]).select(F.unhex(F.md5("sql")).alias("digest"), "sql")
+    return _slow_list(listed.join(texts.dropDuplicates(["digest"]), "digest"), n)
+
+
+def _slow_list(found: DataFrame, n: int) -> DataFrame:
     return (
-        listed.join(texts, "digest")
-        .select(
+        found.select(
             "sql",
             "cnt",
             "max_duration_ms",
@@ -238,20 +267,26 @@ def top_errors(events: DataFrame, n: int = TOP_ROWS) -> DataFrame:
     """Error codes by count, each with the text of its earliest event.
 
     Codes are counted first; the earliest event of each listed code is a top-1
-    over its key, and only the texts of those rows are read.
+    over its key, and only the texts of those rows are read: by their addresses
+    where the events are stored.
     """
+    stored = has_addresses(events)
     errors = events.where(has_db_error()).withColumn("code", F.col("mssql_error_code"))
     counts = errors.groupBy("code").agg(F.count(F.lit(1)).alias("cnt")).orderBy(F.col("cnt").desc(), "code").limit(n)
     # At most n rows, here and below.
     listed = F.broadcast(counts)
     first = Window.partitionBy("code").orderBy(*EVENT_KEY)
     earliest = (
-        errors.select("code", *EVENT_KEY)
+        errors.select("code", *EVENT_KEY, *([address().alias("at")] if stored else []))
         .join(listed, "code")
         .withColumn("place", F.row_number().over(first))
         .where(F.col("place") == 1)
         .drop("place")
     )
+    if stored:
+        found = earliest.collect()
+        earliest = events.sparkSession.createDataFrame(found, earliest.schema).drop("at")
+        errors = at_addresses(errors, [r["at"] for r in found])
     texts = errors.select("code", *EVENT_KEY, "exception", "context").join(F.broadcast(earliest), ["code", *EVENT_KEY])
     return (
         texts.select(
