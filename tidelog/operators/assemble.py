@@ -69,7 +69,7 @@ def marked_lines(lines: DataFrame, header: str = HEADER) -> DataFrame:
     ``at`` (the byte a line begins at) and ``problem`` (why a file could not be
     read) are null for a source that does not give them.
     """
-    value = F.rtrim(F.col("value"), F.lit("\r"))
+    value = F.when(F.col("value").endswith("\r"), F.rtrim(F.col("value"), F.lit("\r"))).otherwise(F.col("value"))
     is_header = value.rlike(header)
     given = lambda name, kind: (F.col(name) if name in lines.columns else F.lit(None)).cast(kind).alias(name)
     return lines.select(

@@ -9,13 +9,16 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.functions.numbers import whole_number
+
 # Fixed value: hour files are named YYMMDDHH.log.
 HOUR_FILE = r"^(\d{2})(\d{2})(\d{2})(\d{2})\.log$"
 
 
 def local_path(uri: Column) -> Column:
-    """``_metadata.file_path`` without percent escapes."""
-    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    """``_metadata.file_path`` without percent escapes; most paths have none."""
+    decoded = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    return F.when(uri.contains("%"), decoded).otherwise(uri)
 
 
 @dataclass(frozen=True)
@@ -37,12 +40,15 @@ class Layout:
 
     def file_key(self, path: Column) -> Column:
         """The path of the hour file a line belongs to."""
-        return F.regexp_replace(path, r"\.log\.\d+$", ".log") if self.parts else path
+        if not self.parts:
+            return path
+        return F.when(path.endswith(".log"), path).otherwise(F.regexp_replace(path, r"\.log\.\d+$", ".log"))
 
     def part(self, path: Column) -> Column:
         if not self.parts:
             return F.lit(0).cast("bigint")
-        return F.coalesce(F.regexp_extract(path, r"\.log\.(\d+)$", 1).try_cast("bigint"), F.lit(0))
+        number = F.coalesce(whole_number(F.regexp_extract(path, r"\.log\.(\d+)$", 1)), F.lit(0))
+        return F.when(path.endswith(".log"), F.lit(0).cast("bigint")).otherwise(number)
 
     def source_file(self, file_key: Column) -> Column:
         return F.element_at(F.split(file_key, "/"), -1)
