@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidelog.functions.numbers import whole_number
+from tidelog.operators.alternative import field_lists
 from tidelog.sources.files import Layout, as_lines, local_path
 
 NUMBERS = ["", None, " ", "7", " 8 ", "-9", "+1", "1.5", "x1", "many", "99999999999999999999", "٣"]
@@ -26,3 +27,11 @@ def test_the_part_of_a_plain_name_is_not_looked_for(spark):
     part = str(Layout("/r", parts=True).part(F.col("p")))
     assert part.index("endswith") < part.index("CAST(0") < part.index("TRY_CAST")
     assert "contains" in str(local_path(F.col("p"))).lower()
+
+
+def test_lines_are_split_once(spark):
+    record = '2026-03-10 05:05:59.123\n usr ; "a;b" \n"x";"y"\nno field\nz;"\nx;'
+    rows = spark.createDataFrame([(record,)], "r string").select(F.get(field_lists(F.col("r")), F.lit(0)).alias("f"))
+    (row,) = rows.collect()
+    assert row.f["keys"] == ["x", "z", "x", "usr"] and row.f["values"] == ["", "", "y", "a;b"]
+    assert str(field_lists(F.col("r"))).lower().count("split(") == 1

@@ -58,8 +58,12 @@ def property_values(keys: Column, values: Column, wanted: list[str]) -> Column:
     The one-element outer array binds the two lists to a variable, so they are
     computed once per row and not once per wanted key.
     """
+    return listed_values(F.array(F.struct(keys.alias("keys"), values.alias("values"))), wanted)
+
+
+def listed_values(lists: Column, wanted: list[str]) -> Column:
+    """``property_values`` of an array with one struct of ``keys`` and ``values``."""
     names = F.array(*[F.lit(key) for key in wanted])
-    lists = F.array(F.struct(keys.alias("keys"), values.alias("values")))
 
     def look_up(pair: Column) -> Column:
         return F.transform(

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.codes import category, severity
-from tidelog.functions.text import property_values, trim_all
+from tidelog.functions.numbers import whole_number
+from tidelog.functions.text import listed_values, trim_all
 from tidelog.functions.times import ntz
 from tidelog.operators.assemble import assemble
 from tidelog.schema import LONG_TEXT_COLUMNS, MAX_ERROR_CODE, MAX_LEVEL, PROPERTY_COLUMNS, TEXT_LIMIT
@@ -51,15 +52,21 @@ WHOLE_FIELDS = {
 REAL_FIELDS = {"duration_ms": "duration_ms"}
 
 
-def field_arrays(record: Column) -> tuple[Column, Column]:
-    """Names and values of the field lines, last line first."""
+def field_lists(record: Column) -> Column:
+    """An array of one struct: ``keys`` and ``values`` of the field lines, last line first.
+
+    A function's argument is computed anew wherever its body names it, so the
+    lines, and each value ahead of its quotes, are bound to a variable first.
+    """
     rest = F.regexp_replace(record, STAMP, "")
     lines = F.reverse(F.filter(F.split(rest, "\n"), lambda line: line.contains(";")))
-    names = F.transform(
-        lines, lambda line: F.trim(trim_all(F.substring_index(line, ";", 1)), F.lit('"'))
-    )
-    values = F.transform(lines, lambda line: unwrapped(trim_all(F.regexp_replace(line, r"^[^;]*;", ""))))
-    return names, values
+
+    def lists(lines: Column) -> Column:
+        names = F.transform(lines, lambda line: F.trim(trim_all(F.substring_index(line, ";", 1)), F.lit('"')))
+        values = F.transform(lines, lambda line: trim_all(F.substr(line, F.instr(line, ";") + 1)))
+        return F.struct(names.alias("keys"), F.transform(values, unwrapped).alias("values"))
+
+    return F.transform(F.array(lines), lists)
 
 
 def unwrapped(value: Column) -> Column:
@@ -94,18 +101,19 @@ def field_records(records: DataFrame, start=None, end=None) -> DataFrame:
     text = F.replace(F.col("record"), F.lit("\uFFFD"), F.lit(""))
     df = _stamped(records, text, start, end)
     wanted = [*TEXT_FIELDS, *WHOLE_FIELDS, *REAL_FIELDS]
-    df = df.withColumn("found", property_values(*field_arrays(text), wanted))
+    df = df.withColumn("found", listed_values(field_lists(text), wanted))
 
     def field(name: str) -> Column:
         return F.coalesce(F.get("found", F.lit(wanted.index(name))), F.lit(""))
 
     def number(name: str, kind: str) -> Column:
         value = field(name)
-        return F.when(value == "", F.lit(0).cast(kind)).otherwise(trim_all(value).try_cast(kind))
+        cast = whole_number(trim_all(value)) if kind == "bigint" else trim_all(value).try_cast(kind)
+        return F.when(value == "", F.lit(0).cast(kind)).otherwise(cast)
 
     numbers = {out: number(name, kind) for fields, kind in ((WHOLE_FIELDS, "bigint"), (REAL_FIELDS, "double")) for name, out in fields.items()}
     df = df.withColumns({f"_{out}": column for out, column in numbers.items()})
-    code = trim_all(field("sql_error_code")).try_cast("bigint")
+    code = whole_number(trim_all(field("sql_error_code")))
     reason = F.when(F.col("oversized"), "oversized_record").when(F.col("timestamp").isNull(), "bad_time")
     for out in numbers:
         reason = reason.when(F.col(f"_{out}").isNull(), f"bad_{'duration' if out == 'duration_ms' else out}")
@@ -135,14 +143,15 @@ def parse_alternative(spark: SparkSession, lines: DataFrame, start=None, end=Non
     text = F.replace(F.col("record"), F.lit("\uFFFD"), F.lit(""))
     df = _stamped(records, text, start, end)
     wanted = [*TEXT_FIELDS, *WHOLE_FIELDS, *REAL_FIELDS]
-    df = df.withColumn("found", property_values(*field_arrays(text), wanted))
+    df = df.withColumn("found", listed_values(field_lists(text), wanted))
 
     def field(name: str) -> Column:
         return F.coalesce(F.get("found", F.lit(wanted.index(name))), F.lit(""))
 
     def number(name: str, kind: str) -> Column:
         value = field(name)
-        return F.when(value == "", F.lit(0).cast(kind)).otherwise(trim_all(value).try_cast(kind))
+        cast = whole_number(trim_all(value)) if kind == "bigint" else trim_all(value).try_cast(kind)
+        return F.when(value == "", F.lit(0).cast(kind)).otherwise(cast)
 
     typed = df.select(
         "file_path",
