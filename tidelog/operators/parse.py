@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.codes import classified, error_code
+from tidelog.functions.numbers import whole_number
 from tidelog.functions.text import property_arrays, property_values, trim_all
 from tidelog.functions.times import ntz
 from tidelog.schema import (
@@ -129,8 +130,8 @@ def events_of(parsed: DataFrame, session_id: Column | str, loaded_at, rules: str
             "level": F.col("level").cast("int"),
             "duration_ms": F.col("duration_us") / F.lit(1000.0),
             "loaded_at": ntz(loaded_at),
-            "rows_num": F.col("rows").try_cast("bigint"),
-            "rows_affected_num": F.col("rowsAffected").try_cast("bigint"),
+            "rows_num": whole_number(F.col("rows")),
+            "rows_affected_num": whole_number(F.col("rowsAffected")),
             "session_id": session,
             "event_date": F.to_date("timestamp"),
         }
